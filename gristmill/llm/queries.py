@@ -2,21 +2,52 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import near_dup
+from gristmill.llm import decontaminate, near_dup, packing, substring_dedup, warc
 from gristmill.llm._shared import table
 
 
+def tokenizer_path(name: str) -> str:
+    """The folder of public tokenizer files: ``GRISTMILL_TOKENIZERS``, or the installed package."""
+    if folder := os.environ.get("GRISTMILL_TOKENIZERS"):
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.Packing(tokenizer_path("word_bpe_49k.json")))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.near_duplicates(table(spark, sf_dir, "documents"), near_dup.Plan(shingle=3, percent=85))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_decontaminate": op2_decontaminate,
+    "op6_pack": op6_pack,
+    "op7_warc": op7_warc,
     "op8_minhash_near_dup": op8_minhash_near_dup,
 }
 ORACLES: dict[str, str] = {}
