@@ -213,7 +213,7 @@ def _neighbourhoods(sets: DataFrame, plan: Plan) -> DataFrame:
         return slim.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
 
     def near(pairs: DataFrame) -> DataFrame:
-        joined = pairs.join(side("a"), "a").join(side("b"), "b")
+        joined = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
         return joined.where(_sizes_fit(F.col("n_a"), F.col("n_b"), plan) & _close(F.col("sig_a"), F.col("sig_b"), plan)).select("a", "b")
 
     near_hubs = write_table(near(spokes), "near")
@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa:
     same = ["d1", "d2", "n_shingles"]
     reps = sketch.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("node")).where("node is not null")
     reps = write_table(reps, "sets")
-    firsts = sketch.where("doc_id is not null").withColumnRenamed("doc_id", "node").join(reps, [*same, "node"], "left_semi")
+    firsts = sketch.where("doc_id is not null").withColumnRenamed("doc_id", "node").join(reps.hint("merge"), [*same, "node"], "left_semi")
     sets = firsts.select("node", "n_shingles", "sig", "keys")
     areas = _neighbourhoods(sets, plan).withColumnRenamed("component", "area")
     areas = write_table(areas.join(firsts.select("node", "n_bytes"), "node"), "areas")
@@ -251,12 +251,13 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa:
     own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
     dealt = areas.join(blocks, "area").select("node", "area", "blocks", own.alias("block")).distinct()
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least("block", i).alias("i"), F.greatest("block", i).alias("j")))
-    texts = docs.withColumnRenamed("doc_id", "node").join(dealt, "node")
+    # Both sides of these joins grow with the input, so neither is ever broadcast: the plan is the same at every size.
+    texts = docs.withColumnRenamed("doc_id", "node").join(dealt.hint("merge"), "node")
     pairs = texts.select("node", "text", "area", F.explode(meets).alias("at")).select("node", "text", "area", "at.i", "at.j")
     links = pairs.groupBy("area", "i", "j").applyInPandas(_links(plan), "a long, b long")
     # Sets in several pieces under one doc_id meet through their node.
     joined = connected_components(links.union(sketch.join(reps, same).where("doc_id <> node").select("doc_id", "node")))
     least = joined.withColumnRenamed("component", "component_id")
     named = reps.join(least, "node", "left").select(*same, F.coalesce("component_id", "node").alias("component_id"))
-    out = sketch.select("doc_id", "n_bytes", *same).join(named, same, "left")
+    out = sketch.select("doc_id", "n_bytes", *same).join(named.hint("merge"), same, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "n_bytes")
