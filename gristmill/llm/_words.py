@@ -14,8 +14,12 @@ import pyarrow.compute as pc
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-LOWER = np.arange(1, 257, dtype=np.uint64)
+#: A word's bytes as they are, and with A-Z lower-cased; none is 0, so that lengths tell.
+SAME = np.arange(1, 257, dtype=np.uint64)
+LOWER = SAME.copy()
 LOWER[65:91] += 32
+#: For terms: every ASCII byte that is no letter or digit parts words.
+SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {}
 CHUNK_BYTES = 1 << 20
@@ -30,8 +34,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def constants(n: int, seed: int) -> np.ndarray:
     """``n`` odd 64-bit multipliers."""
-    with np.errstate(over="ignore"):
-        return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019) + np.uint64(seed)) | np.uint64(1)
+    return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019) + np.uint64(seed)) | np.uint64(1)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,26 +61,40 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         first = end
 
 
-def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word and the number of words of each text."""
+def word_bounds(buf: np.ndarray, offsets: np.ndarray, parts: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of each word; ``parts`` marks the bytes that part words, and a text's end parts them too."""
     n = len(buf)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
-    solid = ~SPACE[buf]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    solid = ~parts[buf]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.empty(n, bool)
     before[0], before[1:] = True, ~solid[:-1]
     after = np.empty(n, bool)
     after[-1], after[:-1] = True, ~solid[1:]
-    starts = np.flatnonzero(solid & (before | edge[:-1]))
-    ends = np.flatnonzero(solid & (after | edge[1:])) + 1
+    return np.flatnonzero(solid & (before | edge[:-1])), np.flatnonzero(solid & (after | edge[1:])) + 1
+
+
+def span_hashes(buf: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]], letters: np.ndarray = LOWER) -> list[np.ndarray]:
+    """For each (starts, ends) the hashes of those byte spans."""
+    n = len(buf)
     up, down = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(LOWER[buf] * up[:n], out=sums[1:])
-    hashes = mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-    counts = np.bincount(np.searchsorted(offsets[1:], starts, side="right"), minlength=len(offsets) - 1)
-    return hashes, counts
+    np.cumsum(letters[buf] * up[:n], out=sums[1:])
+    return [mix64((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)) for a, b in spans]
+
+
+def owners(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The text that each start lies in."""
+    return np.searchsorted(offsets[1:], starts, side="right")
+
+
+def word_hashes(buf: np.ndarray, offsets: np.ndarray, letters: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word and the number of words of each text."""
+    starts, ends = word_bounds(buf, offsets)
+    counts = np.bincount(owners(starts, offsets), minlength=len(offsets) - 1)
+    return (span_hashes(buf, [(starts, ends)], letters)[0] if len(buf) else np.zeros(0, np.uint64)), counts
 
 
 def shingle_hashes(buf: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,5 +117,5 @@ def shingle_hashes(buf: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np
         out[place] = mix64(rolled[inside])
     for d in np.flatnonzero((counts > 0) & (counts < width)):
         own = words[first[d] : last[d]]
-        out[begin[d]] = mix64((own * by[: len(own)]).sum(dtype=np.uint64) + by[width] * np.uint64(len(own)))
+        out[begin[d] : begin[d] + 1] = mix64((own * by[: len(own)]).sum(dtype=np.uint64, keepdims=True) + by[width:] * np.uint64(len(own)))
     return out, total

@@ -15,6 +15,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,34 +101,42 @@ def cut(text: str, repeated: dict[int, bool], min_words: int) -> tuple[str, list
     return "".join(kept).strip() if any(s[0] == 0 or s[2] == len(text) for s in spans) else "".join(kept), [s[:2] for s in spans], removed
 
 
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
 def _clean(min_words: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for text, repeated in zip(rows["text"], rows["repeated"], strict=True):
-                if text and repeated is not None and len(repeated):
-                    out.append(cut(text, {int(r["digest"]): bool(r["first"]) for r in repeated}, min_words))
-                else:
-                    out.append((text, [], 0))
-            spans = [[{"start": a, "end": b} for a, b in x[1]] for x in out]
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "text": [x[0] for x in out], "removed_words": [x[2] for x in out], "spans": spans})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            carried, out = batch.column("carried"), []
+            for text, repeated in zip(carried.field("text").to_pylist(), batch.column("repeated").to_pylist(), strict=True):
+                out.append(cut(text, {r["digest"]: r["first"] for r in repeated}, min_words) if text and repeated else (text, [], 0))
+            spans = pa.array([[{"start": a, "end": b} for a, b in x[1]] for x in out], _SPANS)
+            yield pa.RecordBatch.from_arrays([carried, pa.array([x[0] for x in out], pa.string()), pa.array([x[2] for x in out], pa.int64()), spans], names=["carried", "clean", "removed_words", "spans"])
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text (without repeats), removed_words, spans (of the original text: start, end in code points) per row of ``docs``.
+def clean_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """carried (a struct of the row's columns), clean (its text without repeats), removed_words, spans (of the original text: start,
+    end in code points) per row of ``docs`` (doc_id, text and others).
 
     Null texts stay null, empty ones empty. Rows that share a doc_id are one document: all keep what that document keeps, so that
-    a repeated row is not cut for its twin. A row without doc_id neither owns nor loses a unit. Other columns are ignored. Empty
-    input gives no rows.
+    a repeated row is not cut for its twin. A row without doc_id neither owns nor loses a unit. Empty input gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = write_table(docs.where("doc_id is not null").mapInPandas(_digests, "doc_id long, digest long, n long"), "units")
+    ids, text = docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")
+    read = docs.select(ids, text)
+    found = write_table(read.where("doc_id is not null").mapInPandas(_digests, "doc_id long, digest long, n long"), "units")
     owners = found.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.sum("n").alias("total")).where("total > 1").select("digest", "owner")
-    hits = found.join(owners, "digest").where("doc_id <> owner or n > 1")
+    hits = found.join(owners.hint("merge"), "digest").where("doc_id <> owner or n > 1")
     lists = hits.groupBy("doc_id").agg(F.collect_set(F.struct("digest", (F.col("doc_id") == F.col("owner")).alias("first"))).alias("repeated"))
-    # As text, for pandas would turn a nullable long into a double.
-    dealt = docs.join(lists, "doc_id", "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "repeated")
-    cleaned = dealt.mapInPandas(_clean(min_words), "doc_id string, text string, removed_words long, spans array<struct<start:int,end:int>>")
-    return cleaned.withColumn("doc_id", F.col("doc_id").cast("long"))
+    whole = docs.select(ids, F.struct(*[docs[c] if c != "text" else text for c in docs.columns]).alias("carried"))
+    # Both sides grow with the input, so neither is broadcast.
+    dealt = whole.join(lists.hint("merge"), "doc_id", "left").select("carried", "repeated")
+    kind = whole.schema["carried"].dataType.simpleString()
+    return dealt.mapInArrow(_clean(min_words), f"carried {kind}, clean string, removed_words long, spans array<struct<start:int,end:int>>")
+
+
+def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, text (without repeats), removed_words, spans per row of ``docs``, as ``clean_rows``; other columns are ignored."""
+    cleaned = clean_rows(docs.select("doc_id", "text"), min_words)
+    return cleaned.select(F.col("carried.doc_id").cast("long").alias("doc_id"), F.col("clean").alias("text"), "removed_words", "spans")
