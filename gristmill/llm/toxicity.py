@@ -12,12 +12,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._shared import bounded_share
+from gristmill.llm._shared import bounded_share, write_table
 from gristmill.llm._words import SIGNS, chunks, owners, span_hashes, word_bounds
 
 PREFIX = 5
@@ -25,7 +24,8 @@ PREFIX = 5
 
 @dataclass(frozen=True)
 class Machine:
-    """``sample_rows``: labelled rows that the machine is fitted on, at most (about)."""
+    """``sample_rows``: labelled rows that the machine is fitted on, at most (about); ``positive_weight``: what a row of label 1, of
+    which there are few, weighs in training."""
 
     sample_rows: int = 20_000
     bits: int = 24
@@ -34,6 +34,7 @@ class Machine:
     epochs: int = 30
     rate: float = 0.1
     decay: float = 1e-4
+    positive_weight: float = 4.0
     seed: int = 7
 
 
@@ -73,34 +74,35 @@ def _collect_terms(bits: int):
     return run
 
 
-def _telling(ids: np.ndarray, rows: np.ndarray, label: np.ndarray, most: int) -> np.ndarray:
-    """The ids whose presence tells most about the label, by the G statistic."""
-    known, column = np.unique(ids, return_inverse=True)
-    with_term = np.bincount(column).astype(float)
-    hits = np.bincount(column, weights=label[rows])
-    n, positive = len(label), label.sum()
+def _g(seen: Column, expected: Column) -> Column:
+    return F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0)
 
-    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
 
-    g = np.zeros(len(known))
-    for seen, a, b in ((hits, with_term, positive), (with_term - hits, with_term, n - positive), (positive - hits, n - with_term, positive), (n - with_term - positive + hits, n - with_term, n - positive)):
-        g += 2 * part(seen, a * b / n)
-    best = np.argsort(-g, kind="stable")[:most]
-    return np.sort(known[best[g[best] > 10.8]])  # p of about 0.001
+def _telling(rows: DataFrame, n: int, positive: int, most: int) -> np.ndarray:
+    """The ids whose presence tells most about the label by the G statistic (10.8: p of about 0.001). ``rows``: label, terms."""
+    counts = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("a"), F.sum("label").cast("double").alias("h"))
+    a, h, lot, some = F.col("a"), F.col("h"), F.lit(float(n)), F.lit(float(positive))
+    g = _g(h, a * some / lot) + _g(a - h, a * (lot - some) / lot) + _g(some - h, (lot - a) * some / lot) + _g(lot - a - some + h, (lot - a) * (lot - some) / lot)
+    best = counts.withColumn("g", F.round(g, 6)).where("a > 1 and g > 10.8").orderBy(F.desc("g"), "term").limit(most)
+    return np.sort(np.array([r["term"] for r in best.select("term").collect()], np.int64))
 
 
-def _train(terms: list[np.ndarray], label: np.ndarray, how: Machine) -> Model:
-    sizes = np.array([len(t) for t in terms])
-    ids, rows = np.concatenate([*terms, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(terms)), sizes)
+def _known_terms(known: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [t[np.isin(t, known)].astype(np.int32) for t in batch.column("terms").to_numpy(zero_copy_only=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(kept, pa.list_(pa.int32()))], names=["label", "terms"])
+
+    return run
+
+
+def _train(known: np.ndarray, terms: list[np.ndarray], label: np.ndarray, how: Machine) -> Model:
     positive = label.sum()
     bias = float(np.log((positive + 1) / (len(label) - positive + 1)))
-    known = _telling(ids, rows, label, how.terms) if 0 < positive < len(label) else np.zeros(0, np.int64)
     if not len(known):
         return Model(known, bias, np.zeros(0), np.zeros((0, how.factors)), how.bits)
-    at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
-    use = known[at] == ids
-    column, rows = at[use], rows[use]
+    rows = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+    column = np.searchsorted(known, np.concatenate(terms))
     sizes = np.bincount(rows, minlength=len(terms))
     bounds = np.concatenate(([0], np.cumsum(sizes)))
     random = np.random.default_rng(how.seed)
@@ -119,7 +121,7 @@ def _train(terms: list[np.ndarray], label: np.ndarray, how: Machine) -> Model:
                 sums[:, f] = np.bincount(own, weights=x, minlength=len(batch))
                 squares += np.bincount(own, weights=x * x, minlength=len(batch))
             z = bias + linear + 0.5 * ((sums**2).sum(axis=1) - squares)
-            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[batch]) / len(batch) * 16
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[batch]) * np.where(label[batch] > 0, how.positive_weight, 1) / len(batch) * 16
             step = error.sum()
             gb += step * step
             bias -= how.rate * step / np.sqrt(gb)
@@ -140,10 +142,14 @@ def fit(docs: DataFrame, labels: DataFrame, how: Machine = Machine()) -> Model:
     known = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     sample = bounded_share(known, F.col("doc_id"), how.sample_rows)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select(F.col("label").cast("int").alias("label"), "text")
-    found = rows.mapInArrow(_collect_terms(how.bits), "label int, terms array<int>").toPandas()
+    seen = write_table(rows.mapInArrow(_collect_terms(how.bits), "label int, terms array<int>"), "terms")
+    about = seen.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("positive")).collect()[0]
+    known = _telling(seen, about["n"], about["positive"], how.terms) if 0 < about["positive"] < about["n"] else np.zeros(0, np.int64)
+    found = seen.mapInArrow(_known_terms(known), "label int, terms array<int>").toPandas()
     # In an order of their own, so that the model doesn't depend on how rows were dealt out.
-    order = sorted(range(len(found)), key=lambda i: (len(found["terms"][i]), bytes(np.asarray(found["terms"][i], np.int32)), found["label"][i]))
-    return _train([np.asarray(found["terms"][i], np.int64) for i in order], found["label"].to_numpy(np.float64)[order], how)
+    terms = [np.asarray(x, np.int64) for x in found["terms"]]
+    order = sorted(range(len(terms)), key=lambda i: (len(terms[i]), terms[i].tobytes(), found["label"][i]))
+    return _train(known, [terms[i] for i in order], found["label"].to_numpy(np.float64)[order], how)
 
 
 def _score(model: Model):
