@@ -7,64 +7,65 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.scalars import dot, unit
 
-USER = Window.partitionBy("user_id")
+def user() -> Window:
+    return Window.partitionBy("user_id")
 
 
 def average_rank(value: Column, group: Window) -> Column:
     """Ascending rank in which equal values share the mean of their places. ``group`` is an unordered window."""
-    return F.rank().over(group.orderBy(value)) + (F.count(value).over(group.partitionBy("user_id", value)) - 1) / 2
+    return F.rank().over(group.orderBy(value)) + (F.count(value).over(Window.partitionBy("user_id", value)) - 1) / 2
 
 
 def percent_rank_average(value: Column) -> Column:
-    return average_rank(value, USER) / F.count(value).over(USER)
+    return average_rank(value, user()) / F.count(value).over(user())
 
 
 def rank_pct(value: Column) -> Column:
     """0 for the lowest, 1 for the highest; 0 in a group of one."""
-    n = F.count(value).over(USER)
-    return F.when(n <= 1, 0.0).otherwise((average_rank(value, USER) - 1) / (n - 1))
+    n = F.count(value).over(user())
+    return F.when(n <= 1, 0.0).otherwise((average_rank(value, user()) - 1) / (n - 1))
 
 
 def descending_rank_pct(rank: Column) -> Column:
     """1 for the first; 1 in a group of one."""
-    n = F.count(rank).over(USER)
+    n = F.count(rank).over(user())
     return F.when(n <= 1, 1.0).otherwise(1 - (rank - 1) / (n - 1))
 
 
 def min_max(value: Column) -> Column:
-    low, high = F.min(value).over(USER), F.max(value).over(USER)
+    low, high = F.min(value).over(user()), F.max(value).over(user())
     return F.when(high <= low, 0.0).otherwise((value - low) / (high - low + 1e-9))
 
 
 def z_sigmoid(value: Column) -> Column:
     """Population deviation; a flat group has z = 0."""
-    std = F.stddev_pop(value).over(USER)
-    z = F.when(std > 1e-9, (value - F.avg(value).over(USER)) / std).otherwise(0.0)
+    std = F.stddev_pop(value).over(user())
+    z = F.when(std > 1e-9, (value - F.avg(value).over(user())) / std).otherwise(0.0)
     return 1 / (1 + F.exp(-z))
 
 
 def relative_features(rows: DataFrame, name: str) -> DataFrame:
     """Centred by mean, by median, z by sample deviation, percentile with mean ranks for ties."""
     v = F.col(name)
-    std = F.coalesce(F.stddev_samp(v).over(USER), F.lit(0.0))
+    std = F.coalesce(F.stddev_samp(v).over(user()), F.lit(0.0))
     return rows.withColumns({
-        f"{name}_centered": v - F.avg(v).over(USER), f"{name}_median_gap": v - F.percentile(v, F.lit(0.5)).over(USER),
-        f"{name}_z": F.when(std > 0, (v - F.avg(v).over(USER)) / std).otherwise(0.0), f"{name}_pct": percent_rank_average(v),
+        f"{name}_centered": v - F.avg(v).over(user()), f"{name}_median_gap": v - F.percentile(v, F.lit(0.5)).over(user()),
+        f"{name}_z": F.when(std > 0, (v - F.avg(v).over(user())) / std).otherwise(0.0), f"{name}_pct": percent_rank_average(v),
     })
 
 
 def group_gaps(rows: DataFrame, name: str, item: str = "item_id") -> DataFrame:
     """Distance to the user's best, mean, mean of the best 3 and of the best 10."""
-    v, at = F.col(name), F.row_number().over(USER.orderBy(F.desc(name), F.asc(item)))
+    v, at = F.col(name), F.row_number().over(user().orderBy(F.desc(name), F.asc(item)))
     ranked = rows.withColumn("_at", at)
-    top = lambda k: F.avg(F.when(F.col("_at") <= k, v)).over(USER)
-    return ranked.withColumns({f"{name}_gap_max": v - F.max(v).over(USER), f"{name}_gap_mean": v - F.avg(v).over(USER), f"{name}_gap_top3": v - top(3), f"{name}_gap_top10": v - top(10)}).drop("_at")
+    top = lambda k: F.avg(F.when(F.col("_at") <= k, v)).over(user())
+    return ranked.withColumns({f"{name}_gap_max": v - F.max(v).over(user()), f"{name}_gap_mean": v - F.avg(v).over(user()), f"{name}_gap_top3": v - top(3), f"{name}_gap_top10": v - top(10)}).drop("_at")
 
 
 def frontier_margin(rows: DataFrame, score: str, rank: str, target: int) -> DataFrame:
     """Distance to the score at the target rank (to the last there is, in smaller groups)."""
-    at = F.least(F.lit(target), F.max(rank).over(USER))
-    return rows.withColumn("frontier", at).withColumn("margin", F.col(score) - F.max(F.when(F.col(rank) == F.col("frontier"), F.col(score))).over(USER)).drop("frontier")
+    at = F.least(F.lit(target), F.max(rank).over(user()))
+    return rows.withColumn("frontier", at).withColumn("margin", F.col(score) - F.max(F.when(F.col(rank) == F.col("frontier"), F.col(score))).over(user())).drop("frontier")
 
 
 def tag_overlap(rows: DataFrame, liked: str, avoided: str, tags: str) -> DataFrame:

@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.scalars import bands
-from gristmill.operators.features import min_max
-
-USER = Window.partitionBy("user_id")
+from gristmill.operators.features import min_max, user
 
 
 @dataclass(frozen=True)
@@ -35,24 +33,24 @@ def rescue_fusion(rows: DataFrame, how: Rescue = Rescue()) -> DataFrame:  # noqa
     have a sidecar score. ``rows``: user_id, item_id, base_rank, base_score, sidecar_score."""
     bonus = how.alpha * F.coalesce(min_max(F.col("sidecar_score")), F.lit(0.0)) * band_weight(F.col("base_rank"), how)
     scored = rows.withColumn("rescue_bonus", F.round(bonus, 9)).withColumn("final_score", F.round(min_max(F.col("base_score")) + F.col("rescue_bonus"), 9))
-    return scored.withColumn("final_rank", F.row_number().over(USER.orderBy(F.desc("final_score"), "base_rank", "item_id")))
+    return scored.withColumn("final_rank", F.row_number().over(user().orderBy(F.desc("final_score"), "base_rank", "item_id")))
 
 
 def shortlist(rows: DataFrame, score: str, top: int, per_band: int, size: int) -> DataFrame:
     """The best overall and the best of each band, filled up to the size by score."""
-    at = F.row_number().over(USER.orderBy(F.desc(score), "item_id"))
+    at = F.row_number().over(user().orderBy(F.desc(score), "item_id"))
     in_band = F.row_number().over(Window.partitionBy("user_id", "band").orderBy(F.desc(score), "item_id"))
     marked = rows.withColumn("seed", ((at <= top) | (in_band <= per_band)).cast("int"))
-    order = F.row_number().over(USER.orderBy(F.desc("seed"), F.desc(score), "item_id"))
+    order = F.row_number().over(user().orderBy(F.desc("seed"), F.desc(score), "item_id"))
     return marked.withColumn("place", order).where(F.col("place") <= size)
 
 
 def frontier_gate(rows: DataFrame, target: int, margin: float, cap: int) -> DataFrame:
     """A rescued row passes the target rank only by ``margin``; otherwise it stays behind it, and none rises above ``cap``."""
-    frontier = F.max(F.when(F.col("base_rank") == target, F.col("final_score"))).over(USER)
+    frontier = F.max(F.when(F.col("base_rank") == target, F.col("final_score"))).over(user())
     passes = (F.col("base_rank") <= target) | (F.coalesce(F.col("final_score") - frontier, F.lit(-1.0)) >= margin)
     capped = F.when(F.col("base_rank") <= target, F.col("final_rank")).when(passes, F.greatest("final_rank", F.lit(cap))).otherwise(F.greatest("final_rank", F.col("base_rank")))
-    return rows.withColumn("gate_pass", passes).withColumn("gated_rank", F.row_number().over(USER.orderBy(capped, F.desc("final_score"), "item_id")))
+    return rows.withColumn("gate_pass", passes).withColumn("gated_rank", F.row_number().over(user().orderBy(capped, F.desc("final_score"), "item_id")))
 
 
 def first_hit(rows: DataFrame, rank: str, k: int) -> DataFrame:
