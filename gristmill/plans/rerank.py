@@ -148,7 +148,7 @@ def e12_route_factor_blend(b):
 
 
 cte(
-    grid_hits="SELECT alpha, user_id, min(CASE WHEN label = 1 THEN at END) AS hit FROM (SELECT user_id, alpha, label, row_number() OVER (PARTITION BY user_id, alpha ORDER BY round((1 - alpha) * base + alpha * model, 9) DESC, pre_rank, item_id) AS at FROM scaled_rows CROSS JOIN (SELECT unnest([0.0, 0.25, 0.5])::DOUBLE AS alpha)) GROUP BY alpha, user_id",
+    grid_hits="SELECT alpha, user_id, min(CASE WHEN label = 1 THEN place_at END) AS hit FROM (SELECT user_id, alpha, label, row_number() OVER (PARTITION BY user_id, alpha ORDER BY round((1 - alpha) * base + alpha * model, 9) DESC, pre_rank, item_id) AS place_at FROM scaled_rows CROSS JOIN (SELECT unnest([0.0, 0.25, 0.5])::DOUBLE AS alpha)) GROUP BY alpha, user_id",
 )
 
 
@@ -388,7 +388,7 @@ def i1_serve_with_fallback(b):
     return out(served(b, "reward_rerank").select("user_id", "item_id", "used", "served_rank"))
 
 
-@query("SELECT user_id, b.item_id, user_segment, p_brand AS brand, 'replay-' || user_id AS request_id FROM blend_ranked b JOIN user_segments USING (user_id) JOIN part ON p_partkey = b.item_id WHERE blend_rank <= 3")
+@query("SELECT b.user_id, b.item_id, b.user_segment, p_brand AS brand, 'replay-' || b.user_id AS request_id FROM blend_ranked b JOIN part ON p_partkey = b.item_id WHERE blend_rank <= 3")
 def i2_replay(b):
     brands = b.t("part").select(F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("brand"))
     rows = blended(b).where("blend_rank <= 3").select("user_id", "item_id")
