@@ -85,4 +85,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_quotation_linking": op10_quotation_linking,
 }
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BITS = "CAST('0x' || substr(sha1(coalesce(html, '')), g * 5 + 1, 5) AS BIGINT)"
+_LETTERS = " || ".join(f"substr('{warc.BASE32}', (({_BITS} >> {s}) & 31)::BIGINT + 1, 1)" for s in (15, 10, 5, 0))
+
+ORACLES: dict[str, str] = {
+    "op7_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS payload_bytes,
+                          array_to_string(list_transform(range(8), lambda g: {_LETTERS}), '') AS payload_digest FROM pages),
+             m AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS last FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < last THEN last END AS refers_to FROM m""",
+    "op8_minhash_near_dup": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+             s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+                                                     WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+             n AS (SELECT doc_id, len(sh) AS n FROM s), x AS (SELECT doc_id, unnest(sh) AS g FROM s),
+             p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+             l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+             e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+             r(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id),
+             m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+        SELECT doc_id, n::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN m USING (doc_id)""",
+}
