@@ -9,6 +9,7 @@ from gristmill.operators import fusion, routes, split
 from gristmill.sources.tables import table
 
 MIN_EVENTS = 7
+_SPLITS: dict[tuple[str, str], DataFrame] = {}
 
 
 class Base:
@@ -30,7 +31,11 @@ class Base:
 
     @property
     def split(self) -> DataFrame:
-        return split.leave_two_out(self.interactions, MIN_EVENTS)
+        """Persisted: up to eight branches of one plan read it, and every query over the same tables does."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in _SPLITS:
+            _SPLITS[key] = split.leave_two_out(self.interactions, MIN_EVENTS).persist()
+        return _SPLITS[key]
 
     def part(self, name: str) -> DataFrame:
         return self.split.where(F.col("part") == name).drop("part", "rn")
