@@ -24,10 +24,10 @@ class Base:
     @property
     def interactions(self) -> DataFrame:
         o = self.t("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-        li = self.t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+        li = self.t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_extendedprice")
         pad = lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
         joined = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-        return joined.select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"), F.col("o_orderdate").alias("ts"), F.least(F.ceil(F.col("l_quantity") / 10), F.lit(5)).cast("double").alias("rating"), F.concat(pad("l_orderkey", 12), pad("l_linenumber", 4), pad("l_partkey", 12), pad("l_suppkey", 12)).alias("review_id"))
+        return joined.select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"), F.col("o_orderdate").alias("ts"), F.least(F.ceil(F.col("l_quantity") / 10), F.lit(5)).cast("double").alias("rating"), F.concat(pad("l_orderkey", 12), pad("l_linenumber", 4), pad("l_partkey", 12), pad("l_suppkey", 12), F.date_format("l_shipdate", "yyyyMMdd"), F.lpad(F.round(F.col("l_extendedprice") * 100).cast("long").cast("string"), 12, "0")).alias("review_id"))
 
     @property
     def split(self) -> DataFrame:

@@ -29,7 +29,7 @@ def sql(body: str) -> str:
 ILR = lambda c: f"(CASE WHEN {c} IS NULL THEN 0.0 ELSE ln(2.0) / ln(CAST({c} AS DOUBLE) + 1) END)"
 
 cte(
-    interactions="SELECT o_custkey AS user_id, l_partkey AS item_id, o_orderdate AS ts, CAST(least(ceil(l_quantity / 10), 5) AS DOUBLE) AS rating, lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || lpad(CAST(l_linenumber AS VARCHAR), 4, '0') || lpad(CAST(l_partkey AS VARCHAR), 12, '0') || lpad(CAST(l_suppkey AS VARCHAR), 12, '0') AS review_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    interactions="SELECT o_custkey AS user_id, l_partkey AS item_id, o_orderdate AS ts, CAST(least(ceil(l_quantity / 10), 5) AS DOUBLE) AS rating, lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || lpad(CAST(l_linenumber AS VARCHAR), 4, '0') || lpad(CAST(l_partkey AS VARCHAR), 12, '0') || lpad(CAST(l_suppkey AS VARCHAR), 12, '0') || strftime(l_shipdate, '%Y%m%d') || lpad(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR), 12, '0') AS review_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     counted_events="SELECT *, count(*) OVER (PARTITION BY user_id) AS n_events, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, review_id DESC) AS rn FROM interactions",
     split_events="SELECT user_id, item_id, ts, rating, review_id, rn, CASE WHEN rn = 1 THEN 'test' WHEN rn = 2 THEN 'valid' ELSE 'train' END AS part FROM counted_events WHERE n_events >= 7",
     train_events="SELECT * FROM split_events WHERE part = 'train'",
