@@ -133,8 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, how: Kernel = Kernel()) -> Model:  #
         return Model(np.zeros(len(STATISTICS)), np.ones(len(STATISTICS)), np.zeros(how.features + 1), np.zeros(1), np.full(1, 0.5), how)
     mean, scale = (np.array([about[f"{f}_{c}"] for c in STATISTICS], np.float64) for f in ("avg", "stddev_pop"))
     scale = np.where(scale > 1e-9, scale, 1.0)
-    # A fixed number of partitions, so that what they send has a fixed size; rows are put in order so that sums don't vary.
-    dealt = seen.repartition(how.partitions, "log_words", "word_length").sortWithinPartitions(*STATISTICS)
+    # A few partitions of the bounded sample, whatever the number of shuffle partitions, so that what they send has a fixed size.
+    dealt = seen.coalesce(how.partitions).sortWithinPartitions(*STATISTICS)
     d = how.features + 1
     sums = np.zeros((how.folds, d, d + 1))
     for r in dealt.mapInPandas(_equations(mean, scale, how), "sums binary").collect():
