@@ -3,8 +3,10 @@
 A unit is a line, or a piece of a line that ends at a sentence end; pieces of under ``UNIT_WORDS`` words join the next one (at the
 end of a line, the one before), so that a passage is found again wherever in a line it was put. Units are lower-cased, their
 white space is folded, and a 64-bit digest is taken (the odds of a collision among n units are about n * n / 2**65). Of each
-digest, the document of the least doc_id keeps its first occurrence. Runs of consecutive repeated units are removed when they
-have ``min_words`` words together; shorter ones are chance or set phrases and stay.
+digest, the document of the least doc_id keeps its first occurrence. Repeated lines of ``UNIT_WORDS`` words or more are removed
+everywhere else. Pieces of lines are removed in runs of consecutive repeated units of ``min_words`` words together; shorter ones
+are chance or set phrases and stay. Lines of under ``UNIT_WORDS`` words say nothing alone, so they are held together with their
+neighbours: windows of units of ``min_words`` words that have such a line in them are hashed too, and repeated ones are removed.
 """
 
 from __future__ import annotations
@@ -26,27 +28,32 @@ MIN_WORDS = 10
 _CUT = re.compile(r"[.!?]+[ \t\r\f\v]+|[ \t\r\f\v]*\n[ \t\r\f\v\n]*")
 
 
-def units(text: str) -> list[tuple[int, int, int, int, int]]:
-    """(start, end, start of the next unit, words, digest); digest 0 for a line of under ``UNIT_WORDS`` words."""
+def _digest(data: bytes, person: bytes = b"") -> int:
+    return int.from_bytes(blake2b(data, digest_size=8, person=person).digest(), "little", signed=True)
+
+
+def units(text: str) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int]]]:
+    """(start, end, start of the next unit, words, digest) of each unit; (first unit, unit after the last) of each line."""
     out: list[tuple[int, int, int, int, int]] = []
+    lines: list[tuple[int, int]] = []
     start, line_first, end_of_text = 0, 0, len(text)
 
-    def add(end: int, after: int, closes: bool) -> bool:
+    def add(end: int, after: int, closes: bool) -> None:
         nonlocal start, line_first
         words = text[start:end].lower().split()
         if len(words) < UNIT_WORDS:
             if not closes:
-                return False
+                return
             if len(out) > line_first:  # joins the unit before it in its line
                 start = out.pop()[0]
                 words = text[start:end].lower().split()
         if words:
-            digest = int.from_bytes(blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) if len(words) >= UNIT_WORDS else 0
-            out.append((start, end, after, len(words), digest))
+            out.append((start, end, after, len(words), _digest(" ".join(words).encode("utf-8", "surrogatepass"))))
         start = after
         if closes:
+            if len(out) > line_first:
+                lines.append((line_first, len(out)))
             line_first = len(out)
-        return True
 
     for m in _CUT.finditer(text):
         found = m.group()
@@ -56,41 +63,86 @@ def units(text: str) -> list[tuple[int, int, int, int, int]]:
             add(m.start() + len(found.rstrip()), m.end(), False)
     if start < end_of_text:
         add(end_of_text, end_of_text, True)
-    return out
+    elif len(out) > line_first:
+        lines.append((line_first, len(out)))
+    return out, lines
+
+
+def passages(text: str, min_words: int) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int, bool]]]:
+    """The units, and (first unit, unit after the last, digest, whether it goes wherever it is repeated) of each unit of
+    ``UNIT_WORDS`` words or more, of each line of several units, and of each window with a short line in it.
+
+    The windows are the least ones of ``min_words`` words that begin at a unit, and those that end at a short line. Any repeated
+    passage of ``min_words`` words has one of them around each of its short lines."""
+    found, lines = units(text)
+    whole = {i for i, j in lines if j == i + 1}
+    out = [(i, i + 1, u[4], i in whole) for i, u in enumerate(found) if u[3] >= UNIT_WORDS]
+    packed = [u[4].to_bytes(8, "little", signed=True) for u in found]
+    out += [(i, j, _digest(b"".join(packed[i:j]), b"line"), True) for i, j in lines if j > i + 1]
+    short = [i for i, u in enumerate(found) if u[3] < UNIT_WORDS]
+    if short:
+        ends = np.cumsum([0, *(u[3] for u in found)])
+        before = np.cumsum([0, *(u[3] < UNIT_WORDS for u in found)])
+        at = np.arange(len(found))
+        after = np.searchsorted(ends, ends[:-1] + min_words)
+        back = np.searchsorted(ends, ends[1:] - min_words, side="right") - 1
+        windows = {(i, j) for i, j in zip(at.tolist(), after.tolist(), strict=True) if j <= len(found) and before[j] > before[i]}
+        windows |= {(int(back[i]), i + 1) for i in short if back[i] >= 0}
+        out += [(i, j, _digest(b"".join(packed[i:j]), b"window"), True) for i, j in sorted(windows)]
+    return found, out
+
+
+def _digests(min_words: int):
+    """mapInPandas body: doc_id, text -> doc_id, digest, n: each digest of a text once, with its number there."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            ids, all_digests, numbers = [], [], []
+            for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
+                if not text:
+                    continue
+                digests, n = np.unique(np.array([p[2] for p in passages(text, min_words)[1]], np.int64), return_counts=True)
+                ids.append(np.full(len(digests), int(doc_id), np.int64))
+                all_digests.append(digests)
+                numbers.append(n)
+            if ids:
+                yield pd.DataFrame({"doc_id": np.concatenate(ids), "digest": np.concatenate(all_digests), "n": np.concatenate(numbers)})
 
-
-def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """doc_id, text -> doc_id, digest, n: each digest of a text once, with its number there."""
-    for rows in batches:
-        ids, all_digests, numbers = [], [], []
-        for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
-            if not text:
-                continue
-            own = np.array([u[4] for u in units(text)], np.int64)
-            digests, n = np.unique(own[own != 0], return_counts=True)
-            ids.append(np.full(len(digests), int(doc_id), np.int64))
-            all_digests.append(digests)
-            numbers.append(n)
-        if ids:
-            yield pd.DataFrame({"doc_id": np.concatenate(ids), "digest": np.concatenate(all_digests), "n": np.concatenate(numbers)})
+    return run
 
 
 def cut(text: str, repeated: dict[int, bool], min_words: int) -> tuple[str, list[tuple[int, int]], int]:
-    """The text without its repeated runs, their (start, end) in ``text``, and the words removed.
+    """The text without its repeated lines and runs, their (start, end) in ``text``, and the words removed.
 
     ``repeated``: digest -> whether this document keeps the first occurrence."""
-    found, seen, run, spans, removed = units(text), set(), [], [], 0
-    for u in [*found, None]:
-        again = u is not None and u[4] in repeated and (not repeated[u[4]] or u[4] in seen)
-        if u is not None:
-            seen.add(u[4])
-        if again:
-            run.append(u)
+    found, parts = passages(text, min_words)
+    kept_to: dict[int, int] = {}
+    again, goes = [False] * len(found), [False] * len(found)
+    for i, j, digest, alone in parts:
+        if digest not in repeated:
             continue
-        if run and (words := sum(x[3] for x in run)) >= min_words:
-            spans.append((run[0][0], run[-1][1], run[-1][2]))
-            removed += words
-        run = []
+        first = i
+        if repeated[digest]:
+            first = max(i, kept_to.setdefault(digest, j))
+        for k in range(first, j):
+            again[k] = True
+            goes[k] = goes[k] or alone
+    at = 0
+    while at < len(found):
+        end = at
+        while end < len(found) and again[end]:
+            end += 1
+        if sum(u[3] for u in found[at:end]) >= min_words:
+            goes[at:end] = [True] * (end - at)
+        at = max(end, at + 1)
+    spans, removed = [], 0
+    for k, u in enumerate(found):
+        if goes[k]:
+            removed += u[3]
+            if k and goes[k - 1]:
+                spans[-1] = (spans[-1][0], u[1], u[2])
+            else:
+                spans.append(u[:3])
     if not spans:
         return text, [], 0
     kept, at = [], 0
@@ -125,7 +177,7 @@ def clean_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     ids, text = docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")
     read = docs.select(ids, text)
-    found = write_table(read.where("doc_id is not null").mapInPandas(_digests, "doc_id long, digest long, n long"), "units")
+    found = write_table(read.where("doc_id is not null").mapInPandas(_digests(min_words), "doc_id long, digest long, n long"), "units")
     owners = found.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.sum("n").alias("total")).where("total > 1").select("digest", "owner")
     hits = found.join(owners.hint("merge"), "digest").where("doc_id <> owner or n > 1")
     lists = hits.groupBy("doc_id").agg(F.collect_set(F.struct("digest", (F.col("doc_id") == F.col("owner")).alias("first"))).alias("repeated"))

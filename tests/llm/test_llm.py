@@ -101,6 +101,32 @@ def test_substring_dedup_cuts_a_passage_anywhere_in_a_line(spark):
         assert all(text[i][s.start : s.end] not in got[i].text or i == 4 for s in got[i].spans) and len(got[i].spans) == 1
 
 
+def test_substring_dedup_cuts_short_lines_and_passages_of_them(spark):
+    line = "Six words stand in this line"
+    verse = "\n".join(prose(70 + i, 3) for i in range(20))
+    mixed = "\n".join(prose(90 + i, 6 if i % 2 else 2) for i in range(12))
+    two = "One short piece here. Another short piece here."
+    parts = [line, verse, mixed, two]
+    rows = [(i, "\n".join(x for k, p in enumerate(parts) for x in (prose(1000 * i + k, 30), p)) + f"\n{prose(1000 * i + 9, 30)}\n{verse.split(chr(10))[4]}") for i in (1, 2, 3)]
+    got = {x.doc_id: x for x in substring_dedup.dedup_substrings(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[1].text == rows[0][1] and not got[1].spans
+    for i in (2, 3):
+        # A line of under four words that stands alone stays.
+        expected = "\n".join([*(prose(1000 * i + k, 30) for k in range(4)), prose(1000 * i + 9, 30), verse.split("\n")[4]])
+        assert got[i].text == expected and got[i].removed_words == 6 + 60 + 48 + 8
+
+
+def test_windows_around_short_lines_cover_any_passage():
+    r = random.Random(4)
+    for _ in range(200):
+        own = [prose(r.random(), r.choice([1, 2, 3, 5, 9, 12])) for _ in range(r.randint(1, 9))]
+        if len(" ".join(own).split()) < 10:
+            continue
+        inside = "\n".join(own)
+        owned = {p[2]: False for p in substring_dedup.passages(f"{prose(1, 11)}\n{inside}\n{prose(2, 11)}", 10)[1]}
+        assert substring_dedup.cut(f"{prose(3, 2)}\n{inside}\n{prose(4, 2)}", owned, 10)[0] == f"{prose(3, 2)}\n{prose(4, 2)}"
+
+
 def test_substring_dedup_of_awkward_rows(spark):
     got = substring_dedup.dedup_substrings(awkward(spark)).collect()
     by = [(x.doc_id, x.text) for x in got]
