@@ -1,13 +1,13 @@
 """MinHash near-duplicate detection by a multi-index Hamming join over b-bit minwise signatures.
 
 A text's signature has ``values`` 14-bit minwise values; the distance of two signatures is the number of values that differ.
-``Plan`` derives, from the similarity threshold and a miss probability, a distance threshold that pairs at the similarity
-threshold exceed with that probability at most. The values are split into bands of ``BAND``; with ``2 * bands`` > threshold, two
-signatures within the threshold have, by pigeonhole, a band with one error at most. That error is enumerated by masking each
-value of each band in turn, so equal keys find *all* pairs within the threshold.
+The values are split into bands of ``BAND``, and a pair is a candidate when a band of it has one error at most. That error is
+enumerated by masking each value of each band in turn, so equal keys find *all* such pairs. ``Plan`` derives, from the similarity
+threshold and a miss probability, the number of bands and a distance threshold over all values, so that pairs at the similarity
+threshold have no such band or exceed that distance with the miss probability at most, both together.
 
 Pairs are never expanded inside a bucket. Buckets are linked to a few hubs each, then only across the neighbourhoods that are
-still apart, and what is within the distance threshold (and a second, longer estimate, and the size ratio a link needs) joins a
+still apart, and what is within the distance threshold (and the size ratio a link needs) joins a
 neighbourhood. Texts of a neighbourhood are compared exactly on their full shingle sets, in blocks of bounded size, each pair of
 blocks in a task of its own; a task returns a spanning forest of the links that it found.
 """
@@ -54,10 +54,14 @@ class Plan:
     miss: float = 1e-6
 
     @property
-    def bands(self) -> int:
+    def _spoilt(self) -> float:
+        """Probability that a band of a pair at the threshold has two errors or more."""
         s = self.percent / 100
-        hit = s**BAND + BAND * s ** (BAND - 1) * (1 - s)
-        return max(2, math.ceil(math.log(self.miss) / math.log(max(1 - hit, 1e-9)) / 2) * 2)
+        return max(1 - (s**BAND + BAND * s ** (BAND - 1) * (1 - s)), 1e-9)
+
+    @property
+    def bands(self) -> int:
+        return max(2, math.ceil(math.log(self.miss) / math.log(self._spoilt) / 2) * 2)
 
     @property
     def values(self) -> int:
@@ -65,13 +69,8 @@ class Plan:
 
     @property
     def distance(self) -> int:
-        """Guaranteed by the bands: ``2 * bands - 1`` errors leave a band with one error at most."""
-        return 2 * self.bands - 1
-
-    @property
-    def long_distance(self) -> int:
-        """Of all values, the extra 6-bit ones included."""
-        return _tail(self.values + EXTRA, 1 - self.percent / 100, self.miss)
+        """Of all values, the extra 6-bit ones included; the bands have used up a part of ``miss``."""
+        return _tail(self.values + EXTRA, 1 - self.percent / 100, self.miss - self._spoilt**self.bands)
 
     @property
     def wide_words(self) -> int:
@@ -141,10 +140,10 @@ def _unequal(x: Column, bits: int) -> Column:
 
 
 def _close(a: Column, b: Column, plan: Plan) -> Column:
-    """Within the distance of the signature, and of all values."""
+    """Within the distance of all values. The signature's own values have no bound of their own: a shared key is all they must have."""
     total = sum((_unequal(a[i].bitwiseXOR(b[i]), 16) for i in range(1, plan.wide_words)), _unequal(a[0].bitwiseXOR(b[0]), 16))
     extra = [_unequal(a[i].bitwiseXOR(b[i]), 8) for i in range(plan.wide_words, plan.wide_words + EXTRA // 8)]
-    return (total <= plan.distance) & (sum(extra, total) <= plan.long_distance)
+    return sum(extra, total) <= plan.distance
 
 
 def _sizes_fit(a: Column, b: Column, plan: Plan) -> Column:

@@ -2,6 +2,7 @@
 very long texts, ties, repeated rows, empty tables, extra columns with clashing names."""
 
 import gzip
+import math
 import random
 import re
 import zlib
@@ -82,6 +83,30 @@ def test_near_duplicates_equal_brute_force(spark, plan):
     assert got == near_brute(rows, plan.shingle, plan.percent)
 
 
+@pytest.mark.parametrize("plan", [near_dup.Plan(3, 85), near_dup.Plan(5, 80)])
+def test_pairs_at_the_threshold_are_missed_with_the_stated_probability(spark, plan):
+    def missed(limit):
+        """No band with one error at most, or over ``limit`` errors in the values, or more than the distance in all values."""
+        p = 1 - plan.percent / 100
+        pmf = lambda n: [math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)]
+        ways = {(0, False): 1.0}
+        for _ in range(plan.bands):
+            more = Counter()
+            for (errors, hit), chance in ways.items():
+                for k, q in enumerate(pmf(near_dup.BAND)):
+                    more[(errors + k, hit or k < 2)] += chance * q
+            ways = more
+        extra = pmf(near_dup.EXTRA)
+        return sum(c * (1 if not hit or e > limit else sum(extra[max(0, plan.distance + 1 - e) :])) for (e, hit), c in ways.items())
+
+    # _close must take every signature that is within the distance in all values, however these are spread.
+    words = plan.wide_words + near_dup.EXTRA // 8
+    rows = [(n, [0] * words, [sum(1 << (16 * i) for i in range(4) if 4 * w + i < n) for w in range(plan.wide_words)] + [0] * (words - plan.wide_words)) for n in range(plan.values + 1)]
+    table = spark.createDataFrame(rows, "n int, a array<long>, b array<long>")
+    limit = table.where(near_dup._close(F.col("a"), F.col("b"), plan)).agg(F.max("n")).first()[0]
+    assert missed(limit) <= plan.miss
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     got = near_dup.near_duplicates(awkward(spark)).collect()
     assert len(got) == 8 and {x.component_id for x in got if x.doc_id is not None} == {1, 2, 3, 4, 5, 6}
