@@ -2,8 +2,10 @@
 
 A configuration is a multiset of piece lengths that fits into one sequence. The covering program (least number of configurations
 that hold every length as often as it occurs) is solved by multiplicative weights: each length has a price that grows with how
-well it is covered so far, and an unbounded-knapsack dynamic program over the capacity finds the configuration of best value.
-The fractional solution is scaled into the demand and rounded down; what is left is packed best-fit by decreasing length. The driver sees only the histogram, which has as many entries as the capacity however much the input
+well it is covered so far, and an unbounded-knapsack dynamic program over the capacity finds the configurations of best value,
+one around each length. They are taken in whole numbers until every length's demand is reached, full ones as long as there are
+any, then those of least empty places. What full ones don't hold is also packed best-fit by decreasing length, and the plan of
+fewest sequences stays. The driver sees only the histogram, which has as many entries as the capacity however much the input
 grows; pieces are laid into their places by rank within their length, which is counted in two levels so that no length is
 gathered.
 """
@@ -13,6 +15,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,13 +34,12 @@ Pattern = tuple[tuple[int, int], ...]  # (length, count), lengths falling
 
 @dataclass(frozen=True)
 class Packing:
-    """``rounds``, ``step``, ``rate``: of the multiplicative weights: how many configurations are priced, the share of the scarcest
-    length's demand that each takes, and how fast prices fall with coverage; ``deal``: sub-ranks of each length."""
+    """``step``, ``rate``: of the multiplicative weights: the share of the scarcest length's demand that each configuration takes,
+    and how fast prices fall with coverage; ``deal``: sub-ranks of each length."""
 
     tokenizer: str
     capacity: int = 2048
     end_id: int = 0
-    rounds: int = 250
     step: float = 0.5
     rate: float = 3.0
     deal: int = 512
@@ -156,58 +158,93 @@ def best_fit(left: dict[int, int], capacity: int) -> Counter:
     return out
 
 
-def best_configuration(lengths: np.ndarray, prices: np.ndarray, capacity: int, most: np.ndarray) -> dict[int, int]:
-    """index -> count of the configuration of greatest value, by dynamic programming over the capacity."""
-    best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
+def _knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
+    """The greatest value of each room up to ``capacity``, and the index of the length that it takes first (-1: leaves one place empty)."""
+    best, take = np.zeros(capacity + 1), [-1] * (capacity + 1)
+    ends = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
     for room in range(1, capacity + 1):
-        n = int(np.searchsorted(lengths, room, side="right"))
-        best[room] = best[room - 1]
+        n, value = ends[room], best[room - 1]
         if n:
             values = best[room - lengths[:n]] + prices[:n]
-            i = int(values.argmax())
-            if values[i] > best[room]:
-                best[room], take[room] = values[i], i
-    held: dict[int, int] = {}
-    room = capacity
+            i = n - 1 - int(values[::-1].argmax())  # of equal ones the longest, as the short ones fill gaps later
+            if values[i] > value:
+                value, take[room] = values[i], i
+        best[room] = value
+    return best, take
+
+
+def _trace(first: int, lengths: list[int], take: list[int], left: list[int], capacity: int) -> tuple[dict[int, int], int]:
+    """index -> count of the best configuration around the length ``first``, with no more of any length than is left, and its
+    empty places. Where the program's choice is used up, the longest length left that fits takes its place."""
+    held, room, empty = {first: 1}, capacity - lengths[first], 0
     while room > 0:
-        i = int(take[room])
+        i = take[room]
+        if i >= 0 and held.get(i, 0) >= left[i]:
+            room, empty = room + empty, 0
+            i = bisect_right(lengths, room) - 1
+            while i >= 0 and held.get(i, 0) >= left[i]:
+                i -= 1
+            if i < 0:
+                return held, room
         if i < 0:
-            room -= 1
+            room, empty = room - 1, empty + 1
             continue
-        if held.get(i, 0) < most[i]:
-            held[i] = held.get(i, 0) + 1
-        room -= int(lengths[i])
-    return held
+        held[i] = held.get(i, 0) + 1
+        room -= lengths[i]
+    return held, empty
+
+
+def configurations(histogram: dict[int, int], how: Packing) -> tuple[Counter, dict[int, int], Counter]:
+    """Full priced configurations, pattern -> how often; what of the histogram they don't hold; the configurations that do."""
+    left_of, chosen, slack, full = {x: n for x, n in histogram.items() if n > 0}, Counter(), 0, None
+    while left_of:
+        # Lengths whose demand is reached are out; the others' prices fall with the share that is covered.
+        sizes = sorted(left_of)
+        lengths, left = np.array(sizes, np.int64), [left_of[x] for x in sizes]
+        need = [histogram[x] for x in sizes]
+        lag = 1 - np.array(left, np.float64) / np.array(need, np.float64)
+        prices = lengths * np.exp(-how.rate * (lag - lag.min()))
+        best, take = _knapsack(lengths, prices, how.capacity)
+        values = prices + best[how.capacity - lengths]
+        taken, least = False, how.capacity
+        for first in np.lexsort((-lengths, -np.round(values / values.max(), 3))).tolist():
+            if left[first] <= 0:
+                continue
+            held, room = _trace(first, sizes, take, left, how.capacity)
+            least = min(least, room)
+            if room > slack:
+                continue
+            times = min(left[i] // n for i, n in held.items())
+            times = min(times, max(1, int(how.step * min(need[i] / n for i, n in held.items()))))
+            chosen[tuple((sizes[i], held[i]) for i in sorted(held, reverse=True))] += times
+            for i, n in held.items():
+                left[i] -= n * times
+            taken = True
+        left_of = {x: n for x, n in zip(sizes, left, strict=True) if n > 0}
+        if not taken:
+            full = full or (chosen, left_of)
+            chosen, slack = Counter() if full[0] is chosen else chosen, least
+    return (*full, chosen) if full else (chosen, {}, Counter())
 
 
 def solve(histogram: dict[int, int], how: Packing) -> list[tuple[Pattern, int]]:
     """(pattern, times) that hold the histogram exactly, in a fixed order."""
     full = histogram.get(how.capacity, 0)
-    rest = {x: n for x, n in histogram.items() if n > 0 and x != how.capacity}
-    chosen: Counter = Counter()
-    if rest:
-        lengths = np.array(sorted(rest), np.int64)
-        need = np.array([rest[x] for x in lengths.tolist()], np.float64)
-        cover, amount = np.zeros(len(lengths)), {}
-        for _ in range(how.rounds):
-            # Lengths that lag behind in coverage cost more; a length is worth its share of a sequence at the same coverage.
-            lag = cover / need
-            prices = lengths * np.exp(-how.rate * (lag - lag.min()))
-            held = best_configuration(lengths, prices, how.capacity, need)
-            times = how.step * min(need[i] / n for i, n in held.items())
-            key = tuple(sorted(held.items()))
-            amount[key] = amount.get(key, 0.0) + times
-            for i, n in held.items():
-                cover[i] += n * times
-        # Scaled so that no length is held more often than it occurs, then rounded down; the most used go first.
-        scale, left = max(1.0, float((cover / need).max())), dict(rest)
-        for key, times in sorted(amount.items(), key=lambda x: (-x[1], x[0])):
-            whole = int(min([times / scale, *(left[int(lengths[i])] // n for i, n in key)]))
-            if whole > 0:
-                chosen[tuple((int(lengths[i]), n) for i, n in sorted(key, reverse=True))] += whole
-                for i, n in key:
-                    left[int(lengths[i])] -= n * whole
-        chosen.update(best_fit(left, how.capacity))
+    pieces = {x: n for x, n in histogram.items() if n > 0 and x != how.capacity}
+    chosen, left, rest = configurations(pieces, how)
+    bound = -(-sum(x * n for x, n in pieces.items()) // how.capacity)
+    plans = [chosen + rest, chosen + best_fit(left, how.capacity)]
+    order = list(chosen.items())
+    # Among few pieces full configurations can use up what the rest would need, so fewer of them are tried too.
+    for quarters in (3, 2, 1, 0):
+        if min(p.total() for p in plans) <= bound:
+            break
+        first, over = Counter(dict(order[: len(order) * quarters // 4])), dict(pieces)
+        for pattern, times in first.items():
+            for x, n in pattern:
+                over[x] -= n * times
+        plans.append(first + best_fit(over, how.capacity))
+    chosen = min(plans, key=Counter.total)
     out = sorted((p, n) for p, n in chosen.items() if n)
     return [(((how.capacity, 1),), full)] * bool(full) + out
 
@@ -233,8 +270,8 @@ def pack(docs: DataFrame, how: Packing) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset per piece of each row of ``docs`` (doc_id, text).
 
     Null and empty texts are one piece of the end id alone. Rows that share a doc_id, and rows without one, are pieces of their own.
-    Other columns are ignored; empty input gives no rows. The slot table, which is joined by length and rank, has at most a few
-    thousand rows for any input, since only as many patterns are made as the solver has steps and the histogram has lengths.
+    Other columns are ignored; empty input gives no rows. The slot table, which is joined by length and rank, grows with the number
+    of lengths, not with the input: a pattern takes half of a length's demand, or a whole sequence where that is less.
     """
     spark = docs.sparkSession
     pieces = write_table(token_pieces(docs, how).withColumn("lot", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(how.deal)).cast("int")), "pieces")

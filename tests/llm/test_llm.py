@@ -283,6 +283,23 @@ def test_solver_holds_the_histogram():
     assert held == histogram and packing.solve({}, packing.Packing("")) == []
 
 
+def test_configurations_hold_nearly_all_of_many_lengths():
+    r = random.Random(6)
+    how = packing.Packing("")
+    for n, share in ((10_000, 0.95), (60_000, 0.99)):
+        histogram = Counter(int(r.lognormvariate(5.6, 1.2)) % 2047 + 1 for _ in range(n))
+        full, left, rest = packing.configurations(histogram, how)
+        held = Counter()
+        for pattern, times in (full + rest).items():
+            held.update({a: k * times for a, k in pattern})
+        assert held == histogram and all(sum(a * k for a, k in p) == 2048 for p in full)
+        assert sum(full.values()) * 2048 >= share * sum(a * k for a, k in histogram.items())
+    # Nothing fills a sequence: the covering goes on with what is left empty.
+    full, left, rest = packing.configurations({1500: 4, 500: 3, 900: 5}, how)
+    assert not full and left == {1500: 4, 500: 3, 900: 5} and rest.total() == 4 + 3
+    assert sum(n for _, n in packing.solve({1500: 4, 500: 3, 900: 5}, how)) == 7
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a", "same"), (2, "http://b", "same"), (3, None, None), (4, "u\r\nX: y", "WARC/1.0\r\n\r\nWARC"), (5, "u", ""), (None, "n", "same"), (6, "u", "ä" * 70_000), (7, "u", "tw"), (7, "u", "tw")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, payload string")
