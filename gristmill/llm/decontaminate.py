@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Numbers, the units after them and names inside sentences become typed placeholders, so that a question asked again with other
-values has the same template. Windows of ``window`` template words are hashed and joined with those of the benchmark. What a match
+values has the same template. A capitalised word that opens a sentence, a quotation or a bracket may be a name or not, so windows
+with one are taken under both readings: as it stands, and as a placeholder. Windows of ``window`` template words are hashed and joined with those of the benchmark. What a match
 puts into an item's slots must be consistent: in one alignment, equal values of the item stand for equal values of the document.
 """
 
@@ -16,6 +17,9 @@ from gristmill.llm._shared import write_table
 
 # Private-use characters, which no letter or number class holds.
 NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
+#: A word that opens a sentence and may be a name; its beginning and end while both readings are open.
+OPENER, CLOSE = "\ue004", "\ue005"
+SLOTS = f"[{NAME}{NUMBER}{UNIT}{OPENER}]"
 UNITS = (
     "km|kilometers?|kilometres?|meters?|metres?|m|cm|centimeters?|mm|miles?|mi|feet|foot|ft|inches|inch|yards?|kg|kilograms?|grams?|g|mg|pounds?|lbs?|ounces?|oz|tons?|tonnes?|liters?|litres?|l|ml|gallons?"
     "|seconds?|sec|s|minutes?|min|hours?|hrs?|h|days?|weeks?|months?|years?|dollars?|usd|cents?|euros?|eur|mph|kmh|degrees?|watts?|kw|volts?|percent|%"
@@ -38,29 +42,39 @@ def _spaced(text: Column) -> Column:
 
 
 def _template(spaced: Column) -> Column:
-    """The text with placeholders, lower-cased, without punctuation; white space is as before, so words keep their places."""
+    """The text with placeholders, lower-cased, without punctuation; white space is as before, so words keep their places. Words that
+    may be names stand between ``OPENER`` and ``CLOSE``."""
     named = F.regexp_replace(spaced, r"(?<=[\p{Ll}\p{N},;:] )\p{Lu}[\p{Ll}\p{M}]+", NAME)
-    numbered = F.regexp_replace(named, r"\p{N}+(?:[.,:/]\p{N}+)*", NUMBER)
+    opened = F.regexp_replace(named, r"(?<![^ \"'\u201c\u2018\u00ab(\[{])(?<!\p{L}')(\p{Lu}[\p{Ll}\p{M}]+)", f"{OPENER}$1{CLOSE}")
+    numbered = F.regexp_replace(opened, r"\p{N}+(?:[.,:/]\p{N}+)*", NUMBER)
     with_units = F.regexp_replace(numbered, rf"(?i)(?<={NUMBER} ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT)
-    return F.regexp_replace(F.lower(with_units), rf"[^\p{{L}}\p{{M}}{NAME}{NUMBER}{UNIT} ]+", "")
+    return F.regexp_replace(F.lower(with_units), rf"[^\p{{L}}\p{{M}}{NAME}{NUMBER}{UNIT}{OPENER}{CLOSE} ]+", "")
 
 
 def windows(texts: DataFrame, key: str, width: int) -> DataFrame:
-    """``key``, at (0-based), hash, template and raw words (null where the text has no slot) of each window of each text."""
+    """``key``, at (0-based), hash, template and raw words (null where the text has no slot) of each window of each text; a window
+    with a word that may be a name has a second row, in which it is one."""
     spaced = texts.select(key, _spaced(F.col("text")).alias("spaced"))
-    both = spaced.select(key, F.split("spaced", " ").alias("raw"), _template(F.col("spaced")).alias("flat"))
-    both = both.select(key, "raw", "flat", F.split("flat", " ").alias("tpl"))
-    # Words that were only punctuation are no words of the template; most texts have no slots and need no raw words.
-    with_slots = F.col("flat").rlike(f"[{NAME}{NUMBER}{UNIT}]")
-    words = F.filter("tpl", lambda w: w != "")
+    both = spaced.select(key, F.split("spaced", " ").alias("raw"), _template(F.col("spaced")).alias("marked"))
+    both = both.select(key, "raw", F.translate("marked", OPENER + CLOSE, "").alias("flat"), F.regexp_replace("marked", f"{OPENER}[^{CLOSE}]*{CLOSE}", OPENER).alias("named"))
+    both = both.select(key, "raw", "flat", F.split("flat", " ").alias("tpl"), F.split("named", " ").alias("alt"))
+    # Words that were only punctuation are no words of the template; texts without slots need no raw words for the first reading.
+    with_slots = F.col("flat").rlike(SLOTS)
+    words = lambda c: F.filter(c, lambda w: w != "")
     paired = F.filter(F.arrays_zip("raw", "tpl"), lambda p: p["tpl"] != "")
-    split = both.select(key, words.alias("tpl"), F.when(with_slots, F.transform(paired, lambda p: p["raw"])).alias("raw"))
+    split = both.select(key, words("tpl").alias("tpl"), words("alt").alias("alt"), F.transform(paired, lambda p: p["raw"]).alias("raw"), with_slots.alias("slotted"))
     last = F.size("tpl") - width
     starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    plain = F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice("tpl", i + 1, width)).alias("hash"), F.lit(None).cast("array<string>").alias("tpl"), F.lit(None).cast("array<string>").alias("raw")))
-    slotted = F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice("tpl", i + 1, width)).alias("hash"), F.slice("tpl", i + 1, width).alias("tpl"), F.slice("raw", i + 1, width).alias("raw")))
-    found = split.select(key, F.posexplode(F.when(F.col("raw").isNull(), plain).otherwise(slotted)).alias("at", "w"))
-    return found.select(key, "at", "w.hash", "w.tpl", "w.raw")
+    split = split.withColumn("keyed", F.transform("alt", lambda w: F.translate(w, OPENER, NAME)))
+
+    def taken(at: Column, hashed: str, tpl: str | None) -> Column:
+        part = lambda c: F.slice(c, at + 1, width) if tpl else F.lit(None).cast("array<string>")
+        return F.struct(at.alias("at"), F.xxhash64(F.slice(hashed, at + 1, width)).alias("hash"), part(tpl).alias("tpl"), part("raw").alias("raw"))
+
+    plain = F.when(F.col("slotted"), F.transform(starts, lambda i: taken(i, "tpl", "tpl"))).otherwise(F.transform(starts, lambda i: taken(i, "tpl", None)))
+    opened = F.filter(starts, lambda i: F.exists(F.slice("alt", i + 1, width), lambda w: w.contains(OPENER)))
+    found = split.select(key, F.explode(F.concat(plain, F.transform(opened, lambda i: taken(i, "keyed", "alt")))).alias("w"))
+    return found.select(key, "w.at", "w.hash", "w.tpl", "w.raw")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
@@ -73,7 +87,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules())
     items = benchmark.where("item_id is not null").select("item_id", F.col("text").cast("string").alias("text"))
     ours = windows(items, "item_id", width)
     # A window with one template word at most says nothing.
-    said = F.coalesce(F.size(F.filter("tpl", lambda w: w.rlike(f"[{NAME}{NUMBER}{UNIT}]"))), F.lit(0))
+    said = F.coalesce(F.size(F.filter("tpl", lambda w: w.rlike(SLOTS))), F.lit(0))
     ours = write_table(ours.where(width - said >= 2), "bench")
     totals = ours.groupBy("item_id").agg(F.countDistinct("at").alias("n_windows"))
     side = ours.select("hash", "item_id", F.col("at").alias("item_at"), F.col("tpl").alias("slots"), F.col("raw").alias("item_raw"))
@@ -86,8 +100,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules())
     # One value of the item under one alignment -> how many values of the document.
     pairs = hits.where("raw is not null and item_raw is not null").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), F.explode(F.arrays_zip("slots", "item_raw", "raw")).alias("p"))
     clean = lambda c: F.regexp_replace(F.lower(c), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}%]+$", "")
-    slots = pairs.where(F.col("p.slots").rlike(f"[{NAME}{NUMBER}{UNIT}]")).select("doc_id", "item_id", "shift", F.col("p.slots").alias("kind"), clean(F.col("p.item_raw")).alias("ours"), clean(F.col("p.raw")).alias("theirs"))
-    values = slots.groupBy("doc_id", "item_id", "shift", "kind", "ours").agg(F.count_distinct("theirs").alias("n_values"))
+    kind = F.translate("p.slots", OPENER, NAME)
+    slots = pairs.where(F.col("p.slots").rlike(SLOTS)).select("doc_id", "item_id", "shift", kind.alias("kind"), F.col("p.slots").contains(OPENER).alias("opener"), clean(F.col("p.item_raw")).alias("ours"), clean(F.col("p.raw")).alias("theirs"))
+    values = slots.groupBy("doc_id", "item_id", "shift", "kind", "ours").agg(F.count_distinct("theirs").alias("n_values"), F.bool_and(F.col("opener") & (F.col("ours") == F.col("theirs"))).alias("literal"))
+    # A word that only opens sentences and is never changed is no slot.
+    values = values.where("not literal")
     agreed = values.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_slots"), F.avg((F.col("n_values") == 1).cast("double")).alias("consistent"))
     scored = cover.join(totals, "item_id").join(agreed, ["doc_id", "item_id"], "left")
     out = scored.select("doc_id", "item_id", (F.col("n") / F.col("n_windows")).alias("coverage"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("consistent", F.lit(1.0)).alias("consistent"))

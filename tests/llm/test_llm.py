@@ -174,6 +174,17 @@ def test_decontamination_sees_changed_values_and_checks_slots(spark):
     assert again == {i: x.contaminated for i, x in got.items()}
 
 
+def test_decontamination_sees_changed_names_that_open_sentences(spark):
+    bench = spark.createDataFrame([(1, "Tom has 3 apples. Tom buys 5 more. How many does Tom have?")], "item_id long, text string")
+    rows = [
+        (1, "Ann has 4 apples. Ann buys 7 more. How many does Ann have?"), (2, 'Well: "Ann has 4 apples. Ann buys 7 more. How many does Ann have?"'),
+        (3, "Ann has 4 apples. Bob buys 7 more. How many does Eve have?"), (4, "Tom has 3 apples. Tom buys 5 more. How many does Tom have?"),
+        (5, "Ann has 4 pears. Ann sold 7 more. How often does Ann run?"),
+    ]
+    got = {x.doc_id: x.contaminated for x in decontaminate.decontaminate(spark.createDataFrame(rows, DOCS), bench).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: True, 5: False}
+
+
 def test_language_id_held_out(spark):
     r = random.Random(3)
     words = {"en": ["the", "and", "with", "thing"], "de": ["der", "und", "über", "schön"], "fr": ["le", "être", "où", "ça"]}
