@@ -283,7 +283,7 @@ def c11_sequence_features(b):
 def c11_tower_features(b):
     from gristmill.operators import sequence
 
-    return out(floats(sequence.tower_scores(b.ranked.where("pre_rank <= 20"), b.train), "tower_score").select("user_id", "item_id", "tower_score", "tower_rank"))
+    return out(floats(sequence.tower_scores(b.ranked, b.train), "tower_score").select("user_id", "item_id", "tower_score", "tower_rank"))
 
 
 query(None)(c11_tower_features)

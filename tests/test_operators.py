@@ -79,3 +79,13 @@ def test_serving_falls_back_when_any_score_is_missing(spark):
 def test_diverse_subset_is_greedy_by_score(spark):
     rows = spark.createDataFrame([("a", 1, 3.0, ["x", "y"]), ("a", 2, 2.0, ["x", "y"]), ("a", 3, 1.0, ["z"])], "g string, id long, score double, words array<string>")
     assert sorted(r.id for r in text.diverse_subset(rows, "g", 5, 0.5).collect()) == [1, 3]
+
+
+def test_tower_features_cover_every_ranked_candidate(spark):
+    from gristmill.plans import registry
+    from gristmill.plans.base import Base
+    from tests.conftest import DATA
+
+    ranked = {(r.user_id, r.item_id) for r in Base(spark, DATA).ranked.select("user_id", "item_id").collect()}
+    got = registry.QUERIES["c11_tower_features"](spark, DATA).collect()
+    assert {(r.user_id, r.item_id) for r in got} == ranked and len(got) == len(ranked) and max(r.tower_rank for r in got) > 20
