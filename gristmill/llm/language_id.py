@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from unicodedata import category
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._shared import write_table
+from gristmill.llm._shared import hash_limit, sample_hash, write_table
 from gristmill.llm._words import mix64
 
 PROBES = 3
@@ -77,12 +78,20 @@ _LETTER: dict[str, np.ndarray] = {}
 
 
 def _letters(codes: np.ndarray) -> np.ndarray:
+    """Letters, and the first two combining marks after one, which are parts of words."""
     if not _LETTER:
         _LETTER["bmp"] = np.array([chr(c).isalpha() for c in range(0x10000)])
+        _LETTER["mark"] = np.array([category(chr(c))[0] == "M" for c in range(0x10000)])
     small = codes < 0x10000
-    out = _LETTER["bmp"][np.where(small, codes, 0)]
+    low = np.where(small, codes, 0)
+    out = _LETTER["bmp"][low]
     for i in np.flatnonzero(~small):
         out[i] = chr(int(codes[i])).isalpha()
+    mark = _LETTER["mark"][low]
+    if mark.any():
+        mark[1:] &= out[:-1] | (mark[:-1] & np.concatenate(([False], out[:-2])) if len(out) > 2 else out[:-1])
+        mark[:1] = False
+        out |= mark
     return out
 
 
@@ -133,8 +142,8 @@ def fit(docs: DataFrame, how: Filters = Filters()) -> Model:  # noqa: B008
         raise ValueError(f"a mask has 64 bits, and there are {len(langs)} languages")
     if not langs:
         return Model([], np.zeros(how.slots, np.uint64), np.zeros(0), how)
-    share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(int(min(1.0, how.sample_rows / number[lang]) * 1_000_000)))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(20_011)), F.lit(1_000_000)) < share[F.col("lang")])
+    limits = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(hash_limit(how.sample_rows, number[lang])))])
+    sample = rows.where(sample_hash(F.col("doc_id")) <= limits[F.col("lang")])
     counts = sample.select("lang", "text").mapInPandas(_count(how), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = write_table(counts, "grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
@@ -172,8 +181,10 @@ def _predict(model: Model):
                 # Of n look-ups, n * rate would be positive by chance.
                 fixed = np.clip((held - n * model.false_rate) / (1 - model.false_rate), 0, None) / n
                 top = fixed.argmax(axis=1) if len(model.langs) else np.zeros(b - a, np.int64)
-                whole = fixed.sum(axis=1)
-                share = np.where(whole > 0, fixed.max(axis=1, initial=0) / np.maximum(whole, 1e-12), 1 / max(1, len(model.langs)))
+                # Each language's distance to the best one in standard errors of the difference of two counts.
+                counted = fixed * n
+                lead = counted.max(axis=1, initial=0, keepdims=True)
+                share = 1 / np.maximum(np.exp((counted - lead) / np.sqrt(counted + lead + 1)).sum(axis=1), 1)
                 best += [model.langs[t] if ok and model.langs else UNKNOWN for t, ok in zip(top.tolist(), some.tolist(), strict=True)]
                 score += np.where(some, share, 0.0).tolist()
             yield pd.DataFrame({"doc_id": rows["doc_id"], "lang_pred": best, "score": np.array(score, np.float64)})
@@ -182,8 +193,9 @@ def _predict(model: Model):
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score (the language's share of all corrected counts) per row of ``docs``; ``und`` and 0 for a text that is
-    null or has no letter. A text whose n-grams no filter holds gets the first language with an even share. Only doc_id and text
+    """doc_id, lang_pred, score per row of ``docs``; ``und`` and 0 for a text that is
+    null or has no letter. The score is near 1 when the best language's corrected count is standard errors above the others', and the
+    even share when all are equal. A text whose n-grams no filter holds gets the first language with an even share. Only doc_id and text
     are read. Ties go to the language that sorts first; empty input gives no rows."""
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInPandas(_predict(model), "doc_id string, lang_pred string, score double").withColumn("doc_id", F.col("doc_id").cast("long"))
