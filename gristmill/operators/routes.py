@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.functions.scalars import dot, inverse_log_rank, unit
+from gristmill.functions.scalars import inverse_log_rank, unit
 
 COLUMNS = ["user_id", "item_id", "source", "source_rank", "source_score", "source_confidence"]
 
@@ -64,24 +68,85 @@ def item_vectors(train: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
     return sums.select("item_id", unit(F.array(*[f"x{i}" for i in range(width)])).alias("vector"))
 
 
-def vector_route(users: DataFrame, vectors: DataFrame, items: DataFrame, k: int, least_confidence: float = 0.3, least_score: float = -1.0, source: str = "profile", item_limit: int = 200_000) -> DataFrame:
-    """The k items of greatest dot product with each user's vector.
+def _block_best(score, k: int, least: float):
+    """mapInArrow body over rows (users, items), each a list of structs of one block: the k best items of each user of the block.
+
+    ``score``: (user arrays, item arrays) -> matrix of rounded scores. Equal scores keep the item that sorts first, so what a block
+    drops can't be among a user's k best of all blocks."""
+
+    def table(cells: pa.StructArray) -> dict[str, np.ndarray]:
+        found = {f.name: cells.field(i) for i, f in enumerate(cells.type)}
+        return {n: np.stack(c.to_numpy(zero_copy_only=False)) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for n, c in found.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pair in range(batch.num_rows):
+                users, items = (table(batch.column(c)[pair].values) for c in ("users", "items"))
+                by_id = np.argsort(items["item_id"], kind="stable")
+                items = {n: v[by_id] for n, v in items.items()}
+                scores = score(users, items)
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                own = np.repeat(np.arange(len(best)), best.shape[1])
+                item, value = best.reshape(-1), np.take_along_axis(scores, best, 1).reshape(-1)
+                good = value >= least
+                own, item, value = own[good], item[good], value[good]
+                yield pa.RecordBatch.from_arrays([pa.array(users["user_id"][own]), pa.array(items["item_id"][item]), pa.array(users["confidence"][own]), pa.array(value)], names=["user_id", "item_id", "source_confidence", "source_score"])
+
+    return run
+
 
-    The item side is broadcast only while ``item_limit`` bounds it; beyond that Spark shuffles it block by block."""
-    able = users.join(vectors.where(F.col("confidence") >= least_confidence), "user_id").select("user_id", F.col("confidence").alias("source_confidence"), unit(F.col("vector")).alias("u"))
-    side = items.select("item_id", F.col("vector").alias("v"))
-    side = F.broadcast(side) if side.limit(item_limit + 1).count() <= item_limit else side
-    scored = able.crossJoin(side).withColumn("source_score", F.round(dot(F.col("u"), F.col("v")), 6)).where(F.col("source_score") >= least_score)
+def blocked_best(users: DataFrame, items: DataFrame, score, k: int, least: float, source: str, block: int = 2048) -> DataFrame:
+    """The k best items of each user where every pair must be scored: block by block, as matrices.
+
+    Blocks are ranges of ``block`` integer ids, so no block outgrows that whatever the input; only a block pair's k best per user
+    leave its task. ``users``: user_id, confidence and what ``score`` reads; ``items``: item_id and what ``score`` reads."""
+    u = users.groupBy(F.floor(F.col("user_id") / block).alias("b")).agg(F.collect_list(F.struct(*users.columns)).alias("users")).select("users")
+    i = items.groupBy(F.floor(F.col("item_id") / block).alias("b")).agg(F.collect_list(F.struct(*items.columns)).alias("items")).select("items")
+    pairs = u.crossJoin(i).repartition(F.xxhash64(F.col("users")[0]["user_id"], F.col("items")[0]["item_id"]))
+    scored = pairs.mapInArrow(_block_best(score, k, least), "user_id long, item_id long, source_confidence double, source_score double")
     return top_per_user(scored, k, F.desc("source_score"), F.asc("item_id")).withColumn("source", F.lit(source)).select(*COLUMNS)
 
 
+def _dot(users: dict, items: dict) -> np.ndarray:
+    return np.round(users["u"] @ items["v"].T, 6)
+
+
+def vector_route(users: DataFrame, vectors: DataFrame, items: DataFrame, k: int, least_confidence: float = 0.3, least_score: float = -1.0, source: str = "profile") -> DataFrame:
+    """The k items of greatest dot product with each user's vector, by matrix products of blocks."""
+    able = users.join(vectors.where(F.col("confidence") >= least_confidence), "user_id").select("user_id", F.col("confidence").cast("double").alias("confidence"), unit(F.col("vector")).alias("u"))
+    return blocked_best(able, items.select("item_id", F.col("vector").alias("v")), _dot, k, least_score, source)
+
+
+SALTS = 16
+
+
+def _weight_route(users: DataFrame, user_weights: DataFrame, item_weights: DataFrame, keys: list[str], k: int, least: float) -> DataFrame:
+    """sum(user weight * item weight) over shared keys, by the user's sum of absolute weights; the k best per user above ``least``.
+
+    Items with the same keys and weights have the same score for everyone, so users are scored against the different signatures of
+    items. Of a signature only its k least ids can be among a user's k best. A user's signatures are expanded, best first, until
+    they hold k items: all that tie with the last one are. The signatures' keys are few and hot, hence the salt."""
+    per_item = item_weights.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct(*keys, "weight"))).alias("keys"))
+    nth = F.row_number().over(Window.partitionBy("keys").orderBy("item_id"))
+    signatures = per_item.withColumn("nth", nth).where(F.col("nth") <= k).groupBy("keys").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
+    signatures = signatures.select(F.col("items")[0].alias("signature"), "keys", "items", F.size("items").alias("n"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    flat = signatures.select("signature", "n", F.explode("keys").alias("x")).select("signature", "n", *[F.col(f"x.{c}").alias(c) for c in keys], F.col("x.weight").alias("item_weight"), salts)
+    own = users.join(user_weights, "user_id")
+    total = own.groupBy("user_id").agg(F.nullif(F.sum(F.abs("weight")), F.lit(0.0)).alias("total"))
+    pairs = own.withColumn("salt", F.pmod(F.xxhash64("user_id"), F.lit(SALTS)).cast("int")).join(flat, [*keys, "salt"])
+    scored = pairs.groupBy("user_id", "signature").agg(F.sum(F.col("weight") * F.col("item_weight")).alias("raw"), F.max("n").alias("n")).join(total, "user_id")
+    scored = scored.withColumn("source_score", F.round(F.col("raw") / F.col("total"), 9)).where(F.col("source_score") > least)
+    user = Window.partitionBy("user_id")
+    before = F.sum("n").over(user.orderBy(F.desc("source_score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum("n").over(Window.partitionBy("user_id", "source_score"))
+    needed = scored.withColumn("before", before).where(F.col("before") < k).select("user_id", "signature", "source_score", F.pmod(F.xxhash64("user_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    expanded = needed.join(signatures.select("signature", "items", salts), ["signature", "salt"]).select("user_id", "source_score", F.explode("items").alias("item_id"))
+    return top_per_user(expanded, k, F.desc("source_score"), F.asc("item_id")).withColumn("source", F.lit("profile")).withColumn("source_confidence", F.lit(1.0)).select(*COLUMNS)
+
+
 def tag_route(users: DataFrame, user_tags: DataFrame, item_tags: DataFrame, k: int, least: float = 0.0) -> DataFrame:
     """sum(user weight * item weight) over shared tags, by the user's sum of absolute weights. Tags: id, tag_type, tag, weight."""
-    total = user_tags.groupBy("user_id").agg(F.sum(F.abs("weight")).alias("total"))
-    pairs = users.join(user_tags, "user_id").join(item_tags.withColumnRenamed("weight", "item_weight"), ["tag_type", "tag"])
-    scored = pairs.groupBy("user_id", "item_id").agg(F.sum(F.col("weight") * F.col("item_weight")).alias("raw")).join(total, "user_id")
-    scored = scored.withColumn("source_score", F.round(F.col("raw") / F.col("total"), 9)).where(F.col("source_score") > least)
-    return top_per_user(scored, k, F.desc("source_score"), F.asc("item_id")).withColumn("source", F.lit("profile")).withColumn("source_confidence", F.lit(1.0)).select(*COLUMNS)
+    return _weight_route(users, user_tags, item_tags, ["tag_type", "tag"], k, least)
 
 
 def bridge_user_route(users: DataFrame, user_tags: DataFrame, train: DataFrame, k: int, neighbours: int = 24, key_limit: int = 3000, least: float = 0.0) -> DataFrame:
@@ -104,12 +169,9 @@ def bridge_user_route(users: DataFrame, user_tags: DataFrame, train: DataFrame,
 
 def bridge_type_route(users: DataFrame, user_tags: DataFrame, item_tags: DataFrame, k: int) -> DataFrame:
     """Tag types alone: the user's weight by type against the item's, by the user's sum of absolute weights."""
-    u = users.join(user_tags, "user_id").groupBy("user_id", "tag_type").agg(F.sum("weight").alias("w"))
-    i = item_tags.groupBy("item_id", "tag_type").agg(F.sum("weight").alias("w2"))
-    total = u.groupBy("user_id").agg(F.sum(F.abs("w")).alias("total"))
-    scored = u.join(i, "tag_type").groupBy("user_id", "item_id").agg(F.sum(F.col("w") * F.col("w2")).alias("raw")).join(total, "user_id")
-    scored = scored.withColumn("source_score", F.round(F.col("raw") / F.col("total"), 9)).where("source_score > 0")
-    return top_per_user(scored, k, F.desc("source_score"), F.asc("item_id")).withColumn("source", F.lit("profile")).withColumn("source_confidence", F.lit(1.0)).select(*COLUMNS)
+    u = user_tags.groupBy("user_id", "tag_type").agg(F.sum("weight").alias("weight"))
+    i = item_tags.groupBy("item_id", "tag_type").agg(F.sum("weight").alias("weight"))
+    return _weight_route(users, u, i, ["tag_type"], k, 0.0)
 
 
 def calibrate(routes: DataFrame, weights: dict[str, float], k: int) -> DataFrame:
@@ -131,23 +193,32 @@ def event_weight(rating: Column, days: Column) -> Column:
     return (0.35 + 0.65 * rating / 5) * F.exp(-days / 180.0)
 
 
+def _context_score(names: list[str], km: float = 8.0, support_cap: float = 50.0):
+    """Trait cosine and nearness (exponential in the great-circle distance), behind a gate by support; a matrix of two blocks."""
+
+    def unit_rows(x: np.ndarray) -> np.ndarray:
+        size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return np.where(size > 0, x / np.where(size > 0, size, 1), 0)
+
+    def run(users: dict, items: dict) -> np.ndarray:
+        a, b = (unit_rows(np.stack([x[n].astype(np.float64) for n in names], axis=1)) for x in (users, items))
+        lat1, lon1 = np.radians(users["lat"])[:, None], np.radians(users["lon"])[:, None]
+        lat2, lon2 = np.radians(items["lat"])[None, :], np.radians(items["lon"])[None, :]
+        half = np.sin((lat2 - lat1) / 2) ** 2 + np.cos(lat1) * np.cos(lat2) * np.sin((lon2 - lon1) / 2) ** 2
+        near = np.exp(-(6371.0 * 2 * np.arcsin(np.minimum(np.sqrt(half), 1.0))) / km)
+        gate = 0.82 + 0.18 * np.minimum(np.log1p(items["support"].astype(np.float64)) / np.log1p(support_cap), 1.0)
+        return np.round(np.clip((0.6 * (a @ b.T) + 0.4 * near) * gate, 0.0, 1.5), 6)
+
+    return run
+
+
 def context_route(users: DataFrame, history: DataFrame, traits: DataFrame, names: list[str], k: int, least: float = 0.05) -> DataFrame:
     """Items whose traits (columns ``names`` of ``traits``, with lat, lon and support) resemble what the user's weighted history has.
 
-    A user's profile is the weighted mean of its items' traits and place. The score mixes trait cosine and nearness (exponential in
-    the great-circle distance), behind a gate by how much support an item has."""
-    from gristmill.functions.scalars import haversine_km
-
+    A user's profile is the weighted mean of its items' traits and place. The score mixes trait cosine and nearness, behind a gate by
+    how much support an item has. Any item may score for any user, so pairs are scored in blocks."""
     w = event_weight(F.col("hist_rating"), F.col("days_to_test"))
     seen = users.join(history, "user_id").join(traits, "item_id").withColumn("w", w)
     sums = [(F.sum(F.col("w") * F.col(n)) / F.sum("w")).alias(n) for n in (*names, "lat", "lon")]
-    profile = seen.groupBy("user_id").agg(*sums)
-    items = traits.select("item_id", *[F.col(n).alias(f"i_{n}") for n in (*names, "lat", "lon", "support")])
-    pairs = profile.crossJoin(items)
-    a, b = F.array(*[F.col(n).cast("double") for n in names]), F.array(*[F.col(f"i_{n}").cast("double") for n in names])
-    attr = dot(unit(a), unit(b))
-    geo = F.exp(-haversine_km(F.col("lat"), F.col("lon"), F.col("i_lat"), F.col("i_lon")) / 8.0)
-    gate = 0.82 + 0.18 * F.least(F.log1p(F.col("i_support")) / F.log1p(F.lit(50.0)), F.lit(1.0))
-    score = F.round(F.greatest(F.least((0.6 * attr + 0.4 * geo) * gate, F.lit(1.5)), F.lit(0.0)), 6)
-    scored = pairs.withColumn("source_score", score).where(F.col("source_score") >= least)
-    return top_per_user(scored, k, F.desc("source_score"), F.asc("item_id")).withColumn("source", F.lit("context")).withColumn("source_confidence", F.lit(1.0)).select(*COLUMNS)
+    profile = seen.groupBy("user_id").agg(*sums).withColumn("confidence", F.lit(1.0))
+    return blocked_best(profile, traits.select("item_id", *names, "lat", "lon", "support"), _context_score(names), k, least, "context")

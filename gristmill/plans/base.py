@@ -9,7 +9,7 @@ from gristmill.operators import fusion, routes, split
 from gristmill.sources.tables import table
 
 MIN_EVENTS = 7
-_SPLITS: dict[tuple[str, str], DataFrame] = {}
+_LATEST: list[DataFrame] = []
 
 
 class Base:
@@ -17,6 +17,7 @@ class Base:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._split: DataFrame | None = None
 
     def t(self, name: str) -> DataFrame:
         return table(self.spark, self.folder, name)
@@ -31,11 +32,13 @@ class Base:
 
     @property
     def split(self) -> DataFrame:
-        """Persisted: up to eight branches of one plan read it, and every query over the same tables does."""
-        key = (self.spark.sparkContext.applicationId, self.folder)
-        if key not in _SPLITS:
-            _SPLITS[key] = split.leave_two_out(self.interactions, MIN_EVENTS).persist()
-        return _SPLITS[key]
+        """Persisted while this is the latest query, since up to eight branches of its plan read it; the next query's releases it."""
+        if self._split is None:
+            while _LATEST:
+                _LATEST.pop().unpersist()
+            self._split = split.leave_two_out(self.interactions, MIN_EVENTS).persist()
+            _LATEST.append(self._split)
+        return self._split
 
     def part(self, name: str) -> DataFrame:
         return self.split.where(F.col("part") == name).drop("part", "rn")

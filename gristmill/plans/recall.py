@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gristmill.functions.scalars import pre_rank_band
 from gristmill.operators import baselines, features, fusion, metrics, routes, split
 from gristmill.plans.registry import query
-from gristmill.plans.sql import CTES, ILR, cte
+from gristmill.plans.sql import CTES, ILR, NUDGE, SETTLED, cte
 
 
 def out(df, **types):
@@ -19,16 +19,27 @@ def floats(df, *names, places=6):
     return df.withColumns({n: F.round(n, places) for n in names})
 
 
+def settled(df, *names, places=6):
+    """Rounded with half-way cases up, for values that are made of decimal ones and would fall on either side by a last bit."""
+    return df.withColumns({n: F.round(F.col(n) + NUDGE, places) for n in names})
+
+
 ROUTE = "SELECT user_id, item_id, source, CAST(source_rank AS BIGINT) AS source_rank, round(source_score, 6) AS source_score, round(source_confidence, 6) AS source_confidence FROM {}"
+#: Of scores that the route itself has rounded already.
+ROUNDED = "SELECT user_id, item_id, source, CAST(source_rank AS BIGINT) AS source_rank, CAST(source_score AS DOUBLE) AS source_score, round(source_confidence, 6) AS source_confidence FROM {}"
 
 
 def route(df):
     return out(floats(df.select(*routes.COLUMNS), "source_score", "source_confidence"))
 
 
-@query("SELECT part, count(*) AS n, count(DISTINCT user_id) AS users, sum(item_id)::BIGINT AS items, sum(rating) AS ratings FROM split_events GROUP BY part")
+def rounded_route(df):
+    return out(floats(df.select(*routes.COLUMNS), "source_confidence"))
+
+
+@query("SELECT user_id, item_id, ts, rating, review_id, rn, part FROM split_events")
 def a1_leave_two_out(b):
-    return b.split.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.sum("item_id").alias("items"), F.sum("rating").alias("ratings"))
+    return out(b.split.select("user_id", "item_id", "ts", "rating", "review_id", "rn", "part"))
 
 
 @query(f"SELECT user_segment, count(*) AS n_users, round(avg(CASE WHEN hit_rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_k, round(avg(CASE WHEN hit_rank <= 10 THEN {ILR('hit_rank')} ELSE 0.0 END), 6) AS ndcg_at_k FROM (SELECT t.user_id, p.source_rank AS hit_rank, user_segment FROM truth_items t JOIN user_segments USING (user_id) LEFT JOIN popular_rows p ON p.user_id = t.user_id AND p.item_id = t.item_id) GROUP BY user_segment")
@@ -100,19 +111,19 @@ def user_vectors(b):
     return b.segments.select("user_id").join(v, F.col("user_id") % 500 == F.col("vec_id")).select("user_id", F.col("vector").cast("array<double>").alias("vector"), ((F.col("user_id") % 100) / 100.0).alias("confidence"))
 
 
-@query(ROUTE.format("vector_rows"))
+@query(ROUNDED.format("vector_rows"))
 def b4_profile_vector_route(b):
     vectors = user_vectors(b)
-    return route(routes.vector_route(b.users, vectors, routes.item_vectors(b.train, vectors, WIDE), 20))
+    return rounded_route(routes.vector_route(b.users, vectors, routes.item_vectors(b.train, vectors, WIDE), 20))
 
 
-@query(ROUTE.format("profile_rows"))
+@query(ROUNDED.format("profile_rows"))
 def b5_tag_route(b):
-    return route(b.profile)
+    return rounded_route(b.profile)
 
 
 cte(
-    bridge_tags="SELECT user_id, tag_type, tag, weight FROM user_tags WHERE tag_type = 'size' QUALIFY row_number() OVER (PARTITION BY tag_type, tag ORDER BY abs(weight) DESC, user_id) <= 200",
+    bridge_tags="SELECT user_id, tag_type, tag, weight FROM user_tags QUALIFY row_number() OVER (PARTITION BY tag_type, tag ORDER BY abs(weight) DESC, user_id) <= 3000",
     bridge_len="SELECT user_id, sqrt(sum(weight * weight)) AS len FROM bridge_tags GROUP BY user_id",
     bridge_near="SELECT a.user_id, b.user_id AS other, round(sum(a.weight * b.weight) / max(x.len * y.len), 9) AS sim FROM bridge_tags a JOIN bridge_tags b ON a.tag_type = b.tag_type AND a.tag = b.tag AND a.user_id <> b.user_id JOIN bridge_len x ON x.user_id = a.user_id JOIN bridge_len y ON y.user_id = b.user_id WHERE a.user_id IN (SELECT user_id FROM truth_items) GROUP BY a.user_id, b.user_id",
     bridge_best="SELECT user_id, other, sim FROM bridge_near WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY sim DESC, other) <= 24",
@@ -126,14 +137,14 @@ cte(
 )
 
 
-@query(ROUTE.format("bridge_rows"))
+@query(ROUNDED.format("bridge_rows"))
 def b6_bridge_user_route(b):
-    return route(routes.bridge_user_route(b.users, b.user_tags.where("tag_type = 'size'"), b.train, 20, key_limit=200))
+    return rounded_route(routes.bridge_user_route(b.users, b.user_tags, b.train, 20))
 
 
-@query(ROUTE.format("type_rows"))
+@query(ROUNDED.format("type_rows"))
 def b7_bridge_type_route(b):
-    return route(routes.bridge_type_route(b.users, b.user_tags, b.item_tags, 20))
+    return rounded_route(routes.bridge_type_route(b.users, b.user_tags, b.item_tags, 20))
 
 
 cte(
@@ -143,14 +154,14 @@ cte(
 )
 
 
-@query(ROUTE.format("(SELECT * FROM mv_short UNION ALL SELECT * FROM mv_long)"))
+@query(ROUNDED.format("(SELECT * FROM mv_short UNION ALL SELECT * FROM mv_long)"))
 def b8_multivector_routes(b):
     short = user_vectors(b)
     items = routes.item_vectors(b.train, short, WIDE)
     e = b.t("embeddings").select("vec_id", F.slice("embedding", WIDE + 1, WIDE).cast("array<double>").alias("vector"))
     long_ = b.segments.select("user_id").join(e, F.col("user_id") % 500 == F.col("vec_id")).select("user_id", "vector", ((F.col("user_id") % 100) / 100.0).alias("confidence"))
     one = routes.vector_route(b.users, short, items, 10, source="profile_mv_short_semantic")
-    return route(one.unionByName(routes.vector_route(b.users, long_, items, 10, least_score=0.1, source="profile_mv_long_core")))
+    return rounded_route(one.unionByName(routes.vector_route(b.users, long_, items, 10, least_score=0.1, source="profile_mv_long_core")))
 
 
 cte(
@@ -159,9 +170,9 @@ cte(
 )
 
 
-@query(ROUTE.format("merged_rows"))
+@query(ROUNDED.format("merged_rows"))
 def b9_merge_profile_routes(b):
-    return route(routes.merge_routes(b.profile.unionByName(routes.bridge_type_route(b.users, b.user_tags, b.item_tags, 20)), 40))
+    return rounded_route(routes.merge_routes(b.profile.unionByName(routes.bridge_type_route(b.users, b.user_tags, b.item_tags, 20)), 40))
 
 
 WEIGHTS = {"bias": -0.5, "score": 1.2, "rank": -0.01, "confidence": 0.3, "score_confidence": 0.4, "score_rank": 0.6}
@@ -170,42 +181,41 @@ cte(
 )
 
 
-@query(ROUTE.format("(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY source_score DESC, item_id) AS source_rank FROM calibrated_scores QUALIFY source_rank <= 30)"))
+@query(ROUNDED.format("(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY source_score DESC, item_id) AS source_rank FROM calibrated_scores QUALIFY source_rank <= 30)"))
 def b10_calibrate_route(b):
-    return route(routes.calibrate(b.profile, WEIGHTS, 30))
+    return rounded_route(routes.calibrate(b.profile, WEIGHTS, 30))
 
 
 cte(
-    item_traits="SELECT p_partkey AS item_id, p_size / 50.0 AS small, p_retailprice / 2000.0 AS price, 29.9 + (p_partkey % 40) / 100.0 AS lat, -90.1 + (p_partkey % 37) / 100.0 AS lon, coalesce(item_train_pop_count, 0) AS support FROM part LEFT JOIN item_counts ON item_id = p_partkey WHERE p_partkey % 4 = 0",
+    item_traits="SELECT p_partkey AS item_id, p_size / 50.0 AS small, p_retailprice / 2000.0 AS price, 29.9 + (p_partkey % 40) / 100.0 AS lat, -90.1 + (p_partkey % 37) / 100.0 AS lon, coalesce(item_train_pop_count, 0) AS support FROM part LEFT JOIN item_counts ON item_id = p_partkey",
     context_users="SELECT user_id, sum(w * small) / sum(w) AS small, sum(w * price) / sum(w) AS price, sum(w * lat) / sum(w) AS lat, sum(w * lon) / sum(w) AS lon FROM (SELECT h.user_id, i.*, (0.35 + 0.65 * hist_rating / 5) * exp(-days_to_test / 180.0) AS w FROM history h JOIN truth_items t ON t.user_id = h.user_id JOIN item_traits i ON i.item_id = h.item_id) GROUP BY user_id",
     context_scores="SELECT u.user_id, i.item_id, round(greatest(least((0.6 * (u.small * i.small + u.price * i.price) / (sqrt(u.small * u.small + u.price * u.price) * sqrt(i.small * i.small + i.price * i.price)) + 0.4 * exp(-(6371.0 * 2 * asin(least(sqrt(power(sin(radians(i.lat - u.lat) / 2), 2) + cos(radians(u.lat)) * cos(radians(i.lat)) * power(sin(radians(i.lon - u.lon) / 2), 2)), 1.0))) / 8.0)) * (0.82 + 0.18 * least(ln(1 + support) / ln(51.0), 1.0)), 1.5), 0.0), 6) AS source_score FROM context_users u CROSS JOIN item_traits i",
     context_rows="SELECT user_id, item_id, 'context' AS source, row_number() OVER (PARTITION BY user_id ORDER BY source_score DESC, item_id) AS source_rank, source_score, 1.0 AS source_confidence FROM context_scores WHERE source_score >= 0.05 QUALIFY source_rank <= 20",
 )
 
 
-@query("SELECT user_id, count(*) AS n, round(avg(source_score), 4) AS mean_score, max(source_rank)::BIGINT AS last_rank FROM context_rows GROUP BY user_id")
+@query(ROUNDED.format("context_rows"))
 def b11_context_route(b):
-    p = b.t("part").where("p_partkey % 4 = 0").join(b.popularity, F.col("item_id") == F.col("p_partkey"), "left")
+    p = b.t("part").join(b.popularity, F.col("item_id") == F.col("p_partkey"), "left")
     traits = p.select(F.col("p_partkey").alias("item_id"), (F.col("p_size") / 50.0).alias("small"), (F.col("p_retailprice") / 2000.0).alias("price"), (29.9 + (F.col("p_partkey") % 40) / 100.0).alias("lat"), (-90.1 + (F.col("p_partkey") % 37) / 100.0).alias("lon"), F.coalesce("item_train_pop_count", F.lit(0)).alias("support"))
-    found = routes.context_route(b.users, b.history, traits, ["small", "price"], 20)
-    return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("source_score"), 4).alias("mean_score"), F.max("source_rank").cast("long").alias("last_rank"))
+    return rounded_route(routes.context_route(b.users, b.history, traits, ["small", "price"], 20))
 
 
-@query("SELECT source, user_segment, count(*) AS n, round(sum(source_weight * source_norm * source_confidence), 4) AS signal, round(avg(quality_score), 6) AS quality FROM scored_rows GROUP BY source, user_segment")
+@query(f"SELECT user_id, item_id, source, user_segment, {SETTLED('source_weight * source_norm * source_confidence')} AS signal_score, {SETTLED('quality_score')} AS quality_score FROM scored_rows")
 def c1_source_scores(b):
     s = fusion.score_sources(b.candidates, b.segments, b.items)
-    return s.groupBy("source", "user_segment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("signal_score"), 4).alias("signal"), F.round(F.avg("quality_score"), 6).alias("quality"))
+    return settled(s, "signal_score", "quality_score").select("user_id", "item_id", "source", "user_segment", "signal_score", "quality_score")
 
 
-@query("SELECT user_id, item_id, round(signal_score, 6) AS signal_score, round(quality_score, 6) AS quality_score, sources, cluster_rank::BIGINT AS cluster_rank, popular_rank::BIGINT AS popular_rank, profile_rank::BIGINT AS profile_rank FROM fused_rows")
+@query(f"SELECT user_id, item_id, {SETTLED('signal_score')} AS signal_score, {SETTLED('quality_score')} AS quality_score, sources, cluster_rank::BIGINT AS cluster_rank, popular_rank::BIGINT AS popular_rank, profile_rank::BIGINT AS profile_rank FROM fused_rows")
 def c2_fuse(b):
     f = fusion.fuse(fusion.score_sources(b.candidates, b.segments, b.items))
-    return out(floats(f, "signal_score", "quality_score").select("user_id", "item_id", "signal_score", "quality_score", F.array_join("source_set", ",").alias("sources"), "cluster_rank", "popular_rank", "profile_rank"))
+    return out(settled(f, "signal_score", "quality_score").select("user_id", "item_id", "signal_score", "quality_score", F.array_join("source_set", ",").alias("sources"), "cluster_rank", "popular_rank", "profile_rank"))
 
 
-@query("SELECT source_count, nonpopular_source_count, profile_cluster_source_count, has_popular, count(*) AS n FROM flagged_rows GROUP BY ALL")
+@query("SELECT user_id, item_id, source_count, nonpopular_source_count, profile_cluster_source_count, has_popular FROM flagged_rows")
 def c3_source_flags(b):
-    return b.fused.groupBy("source_count", "nonpopular_source_count", "profile_cluster_source_count", "has_popular").agg(F.count(F.lit(1)).alias("n"))
+    return b.fused.select("user_id", "item_id", "source_count", "nonpopular_source_count", "profile_cluster_source_count", "has_popular")
 
 
 cte(
@@ -227,20 +237,20 @@ def c5_debias(b):
     return floats(fusion.debias(semantic(b)), "item_pop_gate", "item_pop_inv", "als_backbone_mult").select("user_id", "item_id", "item_pop_gate", "item_pop_inv", "als_backbone_mult")
 
 
-@query("SELECT user_id, item_id, round(pre_score, 6) AS pre_score FROM pre_rows")
+@query("SELECT user_id, item_id, pre_score FROM pre_rows")
 def c6_pre_score(b):
-    return floats(fusion.pre_score(b.fused, fusion.FusionPolicy()), "pre_score").select("user_id", "item_id", "pre_score")
+    return fusion.pre_score(b.fused, fusion.FusionPolicy()).select("user_id", "item_id", "pre_score")
 
 
-@query("SELECT user_id, item_id, pre_rank, round(head_score, 6) AS head_score FROM ranked_rows WHERE pre_rank <= 20")
+@query("SELECT user_id, item_id, pre_rank, head_score FROM ranked_rows")
 def c7_head_policy(b):
-    return out(floats(b.ranked.where("pre_rank <= 20"), "head_score").select("user_id", "item_id", "pre_rank", "head_score"))
+    return out(b.ranked.select("user_id", "item_id", "pre_rank", "head_score"))
 
 
-@query(f"SELECT user_id, item_id, round(round(0.32 * {ILR('profile_rank')} + 0.16 * {ILR('cluster_rank')} + 0.04 * nonpopular_source_count + 0.05 * profile_cluster_source_count + 0.10 * ln(2.0) / ln(item_train_pop_count + 2.0) - 0.08 * least(ln(item_train_pop_count + 1.0) / ln(201.0), 1.0) - 0.04 * has_popular, 9), 6) AS challenger_score FROM ranked_rows WHERE pre_rank <= 300 AND item_train_pop_count <= 60 AND nonpopular_source_count >= 1 AND has_popular < 0.5")
+@query(f"SELECT user_id, item_id, round(0.32 * {ILR('profile_rank')} + 0.16 * {ILR('cluster_rank')} + 0.04 * nonpopular_source_count + 0.05 * profile_cluster_source_count + 0.10 * ln(2.0) / ln(item_train_pop_count + 2.0) - 0.08 * least(ln(item_train_pop_count + 1.0) / ln(201.0), 1.0) - 0.04 * has_popular, 9) AS challenger_score FROM ranked_rows WHERE pre_rank <= 300 AND item_train_pop_count <= 60 AND nonpopular_source_count >= 1 AND has_popular < 0.5")
 def c8_challenger(b):
     scored = fusion.challenger_score(fusion.debias(b.ranked.withColumn("semantic_support", F.lit(0.0))))
-    return floats(scored.where("challenger_ok"), "challenger_score").select("user_id", "item_id", "challenger_score")
+    return scored.where("challenger_ok").select("user_id", "item_id", "challenger_score")
 
 
 LAYERS = fusion.Layers(front=20, rescue=5, rescue_max_rank=60, l1=15, l2=12, l3=6, l1_ranks=(10, 12, 12), l2_ranks=(40, 40, 40))
@@ -271,12 +281,12 @@ cte(
 )
 
 
-@query("SELECT r.user_id, r.item_id, round(coalesce(w, 0), 6) AS seq_score FROM (SELECT * FROM ranked_rows WHERE pre_rank <= 20) r JOIN clusters c ON c.item_id = r.item_id LEFT JOIN sequence_brand s ON s.user_id = r.user_id AND s.cluster_id = c.cluster_id")
+@query("SELECT r.user_id, r.item_id, round(coalesce(w, 0), 6) AS seq_score FROM ranked_rows r JOIN clusters c ON c.item_id = r.item_id LEFT JOIN sequence_brand s ON s.user_id = r.user_id AND s.cluster_id = c.cluster_id")
 def c11_sequence_features(b):
     from gristmill.operators import sequence
 
     recent = sequence.recent_weights(b.train, 10, 0.85).join(b.clusters, "item_id").groupBy("user_id", "cluster_id").agg(F.sum("w").alias("w"))
-    rows = b.ranked.where("pre_rank <= 20").join(b.clusters, "item_id").join(recent, ["user_id", "cluster_id"], "left")
+    rows = b.ranked.join(b.clusters, "item_id").join(recent, ["user_id", "cluster_id"], "left")
     return rows.select("user_id", "item_id", F.round(F.coalesce("w", F.lit(0.0)), 6).alias("seq_score"))
 
 

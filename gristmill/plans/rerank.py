@@ -6,22 +6,24 @@ from pyspark.sql import functions as F
 
 from gristmill.operators import features, fusion, metrics, profiles, ranking, rescue, sampling, serving
 from gristmill.operators.split import hash_split
-from gristmill.plans.recall import floats, out, types
+from gristmill.plans.recall import floats, out, settled, types
 from gristmill.plans.registry import query
-from gristmill.plans.sql import ILR, cte
+from gristmill.plans.sql import ILR, SETTLED, cte
 
 DICE = lambda *keys: "CAST(('0x' || md5(concat_ws('|', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in keys) + ", '42'))[1:8]) AS BIGINT) % 1000000"
 
-# A small pool: the first ranks of each user's fused candidates, with the label and the item's category.
+# The pool of the later stages is the flat cut at its surveyed size, with the label and the item's category.
+PRETRIM = 150
 cte(
-    small_rows="SELECT * FROM labeled_rows WHERE pre_rank <= 60",
+    small_rows=f"SELECT * FROM labeled_rows WHERE pre_rank <= {PRETRIM}",
     model_rows="SELECT *, round(head_score + ((item_id % 17) / 100.0), 9) AS model_score FROM small_rows",
 )
 
 
 def small(b):
+    """Each user's pretrimmed candidates: what the rank model, its features and the rescue read."""
     t = b.part("test").select("user_id", F.col("item_id").alias("true_item"))
-    rows = b.ranked.where("pre_rank <= 60").join(t, "user_id").withColumn("label", (F.col("item_id") == F.col("true_item")).cast("int")).drop("true_item")
+    rows = fusion.flat_cut(b.ranked, fusion.FusionPolicy()).join(t, "user_id").withColumn("label", (F.col("item_id") == F.col("true_item")).cast("int")).drop("true_item")
     return rows.join(types(b).withColumnRenamed("p_type", "category"), "item_id")
 
 
@@ -34,10 +36,10 @@ def e1_rank_features(b):
     return floats(ranking.rank_features(small(b)), "log_pop", "best_route_inv", "route_gap").select("user_id", "item_id", "log_pop", "best_route_inv", "route_gap", "multi_source")
 
 
-@query("SELECT r.user_id, r.item_id, p_size AS size, user_train_count FROM small_rows r JOIN part ON p_partkey = r.item_id JOIN user_segments USING (user_id) WHERE r.pre_rank <= 20")
+@query("SELECT r.user_id, r.item_id, p_size AS size, user_train_count FROM small_rows r JOIN part ON p_partkey = r.item_id JOIN user_segments USING (user_id)")
 def e2_attach_features(b):
     sizes = b.t("part").select(F.col("p_partkey").alias("item_id"), F.col("p_size").alias("size"))
-    return small(b).where("pre_rank <= 20").join(sizes, "item_id").join(b.segments.drop("user_segment"), "user_id").select("user_id", "item_id", "size", "user_train_count")
+    return small(b).join(sizes, "item_id").join(b.segments.drop("user_segment"), "user_id").select("user_id", "item_id", "size", "user_train_count")
 
 
 cte(
@@ -51,10 +53,10 @@ def e3_history_flags(b):
     return ranking.history_flags(b.history).select("user_id", "item_id", "age", "recency")
 
 
-@query("SELECT r.user_id, r.item_id, (r.item_id = t.item_id)::INT AS label_true, coalesce(r.item_id = v.item_id, false)::INT AS label_valid FROM ranked_rows r JOIN truth_items t ON t.user_id = r.user_id LEFT JOIN (SELECT user_id, item_id FROM split_events WHERE part = 'valid') v ON v.user_id = r.user_id WHERE pre_rank <= 60 AND (r.item_id = t.item_id OR r.item_id = v.item_id)")
+@query(f"SELECT r.user_id, r.item_id, (r.item_id = t.item_id)::INT AS label_true, coalesce(r.item_id = v.item_id, false)::INT AS label_valid, greatest((r.item_id = t.item_id)::INT, coalesce(r.item_id = v.item_id, false)::INT) AS label FROM ranked_rows r JOIN truth_items t ON t.user_id = r.user_id LEFT JOIN (SELECT user_id, item_id FROM split_events WHERE part = 'valid') v ON v.user_id = r.user_id WHERE pre_rank <= {PRETRIM}")
 def e4_labels(b):
     truth = b.truth.withColumnRenamed("item_id", "true_item").join(b.part("valid").select("user_id", F.col("item_id").alias("valid_item")), "user_id", "left")
-    return ranking.labels(b.ranked.where("pre_rank <= 60"), truth, True).where("label = 1").select("user_id", "item_id", "label_true", "label_valid")
+    return ranking.labels(fusion.flat_cut(b.ranked, fusion.FusionPolicy()), truth, True).select("user_id", "item_id", "label_true", "label_valid", "label")
 
 
 @query(f"SELECT CASE WHEN d < 200000 THEN 'test' WHEN d < 350000 THEN 'calib' ELSE 'train' END AS part, count(*) AS n FROM (SELECT {DICE('user_id')} AS d FROM truth_items) GROUP BY part")
@@ -142,9 +144,9 @@ def blended(b):
     return ranking.blend(scaled(b), "head_score", "model", 0.2, ranking.route_factor(LIFT), top=30)
 
 
-@query("SELECT user_id, item_id, blend_rank, round(blend_score, 6) AS blend_score FROM blend_ranked")
+@query("SELECT user_id, item_id, blend_rank, blend_score FROM blend_ranked")
 def e12_route_factor_blend(b):
-    return out(floats(blended(b).select("user_id", "item_id", "blend_rank", "blend_score"), "blend_score"))
+    return out(blended(b).select("user_id", "item_id", "blend_rank", "blend_score"))
 
 
 cte(
@@ -213,10 +215,10 @@ def e18_slice_eval(b):
     return sliced.groupBy("pop_band", "user_segment").agg(F.count(F.lit(1)).alias("n_users"), F.round(metrics.hit_rate(F.col("after"), 10) - metrics.hit_rate(F.col("before"), 10), 6).alias("recall_delta"))
 
 
-@query("SELECT user_id, item_id, round(head_score - avg(head_score) OVER w, 6) AS head_score_centered, round(head_score - quantile_cont(head_score, 0.5) OVER w, 6) AS head_score_median_gap, round(CASE WHEN stddev_samp(head_score) OVER w > 0 THEN (head_score - avg(head_score) OVER w) / stddev_samp(head_score) OVER w ELSE 0 END, 4) AS head_score_z, round((rank() OVER (PARTITION BY user_id ORDER BY head_score) + (count(*) OVER (PARTITION BY user_id, head_score) - 1) / 2.0) / count(*) OVER w, 6) AS head_score_pct FROM small_rows WINDOW w AS (PARTITION BY user_id)")
+@query(f"SELECT user_id, item_id, {SETTLED('head_score - avg(head_score) OVER w')} AS head_score_centered, {SETTLED('head_score - quantile_cont(head_score, 0.5) OVER w')} AS head_score_median_gap, {SETTLED('CASE WHEN stddev_samp(head_score) OVER w > 0 THEN (head_score - avg(head_score) OVER w) / stddev_samp(head_score) OVER w ELSE 0 END', 4)} AS head_score_z, {SETTLED('(rank() OVER (PARTITION BY user_id ORDER BY head_score) + (count(*) OVER (PARTITION BY user_id, head_score) - 1) / 2.0) / count(*) OVER w')} AS head_score_pct FROM small_rows WINDOW w AS (PARTITION BY user_id)")
 def f1_relative_features(b):
     r = features.relative_features(small(b), "head_score")
-    return floats(floats(r, "head_score_centered", "head_score_median_gap", "head_score_pct"), "head_score_z", places=4).select("user_id", "item_id", "head_score_centered", "head_score_median_gap", "head_score_z", "head_score_pct")
+    return settled(settled(r, "head_score_centered", "head_score_median_gap", "head_score_pct"), "head_score_z", places=4).select("user_id", "item_id", "head_score_centered", "head_score_median_gap", "head_score_z", "head_score_pct")
 
 
 cte(
@@ -225,29 +227,29 @@ cte(
 )
 
 
-@query("SELECT r.user_id, r.item_id, len(list_intersect(coalesce(liked, []), tags))::BIGINT AS n_liked, len(list_intersect(coalesce(avoided, []), tags))::BIGINT AS n_avoided, round((len(list_intersect(coalesce(liked, []), tags)) - len(list_intersect(coalesce(avoided, []), tags))) / CAST(len(tags) AS DOUBLE), 6) AS net FROM (SELECT * FROM small_rows WHERE pre_rank <= 20) r JOIN user_likes USING (user_id) JOIN item_tag_lists i ON i.item_id = r.item_id")
+@query("SELECT r.user_id, r.item_id, len(list_intersect(coalesce(liked, []), tags))::BIGINT AS n_liked, len(list_intersect(coalesce(avoided, []), tags))::BIGINT AS n_avoided, round((len(list_intersect(coalesce(liked, []), tags)) - len(list_intersect(coalesce(avoided, []), tags))) / CAST(len(tags) AS DOUBLE), 6) AS net FROM small_rows r JOIN user_likes USING (user_id) JOIN item_tag_lists i ON i.item_id = r.item_id")
 def f2_tag_overlap(b):
     liked = b.train.join(types(b), "item_id").groupBy("user_id").agg(F.collect_set(F.when(F.col("rating") >= 4, F.col("p_type"))).alias("liked"), F.collect_set(F.when(F.col("rating") <= 1, F.col("p_type"))).alias("avoided"))
     tags = b.t("part").select(F.col("p_partkey").alias("item_id"), F.array_distinct(F.array("p_type", F.when(F.col("p_size") % 2 == 0, F.lit("TYPE-X")).otherwise(F.col("p_type")))).alias("tags"))
-    rows = small(b).where("pre_rank <= 20").join(liked, "user_id").join(tags, "item_id")
+    rows = small(b).join(liked, "user_id").join(tags, "item_id")
     return out(floats(features.tag_overlap(rows, "liked", "avoided", "tags"), "net").select("user_id", "item_id", "n_liked", "n_avoided", "net"))
 
 
 cte(gap_rows="SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY head_score DESC, item_id) AS gap_at FROM small_rows")
 
 
-@query("SELECT user_id, item_id, round(head_score - max(head_score) OVER w, 6) AS head_score_gap_max, round(head_score - avg(CASE WHEN gap_at <= 3 THEN head_score END) OVER w, 6) AS head_score_gap_top3, round(head_score - avg(CASE WHEN gap_at <= 10 THEN head_score END) OVER w, 6) AS head_score_gap_top10 FROM gap_rows WINDOW w AS (PARTITION BY user_id)")
+@query(f"SELECT user_id, item_id, {SETTLED('head_score - max(head_score) OVER w')} AS head_score_gap_max, {SETTLED('head_score - avg(head_score) OVER w')} AS head_score_gap_mean, {SETTLED('head_score - avg(CASE WHEN gap_at <= 3 THEN head_score END) OVER w')} AS head_score_gap_top3, {SETTLED('head_score - avg(CASE WHEN gap_at <= 10 THEN head_score END) OVER w')} AS head_score_gap_top10 FROM gap_rows WINDOW w AS (PARTITION BY user_id)")
 def f3_group_gaps(b):
-    r = features.group_gaps(small(b), "head_score")
-    return floats(r, "head_score_gap_max", "head_score_gap_top3", "head_score_gap_top10").select("user_id", "item_id", "head_score_gap_max", "head_score_gap_top3", "head_score_gap_top10")
+    names = ["head_score_gap_max", "head_score_gap_mean", "head_score_gap_top3", "head_score_gap_top10"]
+    return settled(features.group_gaps(small(b), "head_score"), *names).select("user_id", "item_id", *names)
 
 
-@query("SELECT r.user_id, r.item_id, round(0.5 * coalesce(t.weight, 0) + 0.3 * coalesce(s.weight, 0) + 0.2 * (p_retailprice < 1000)::INT, 6) AS match_total FROM (SELECT * FROM small_rows WHERE pre_rank <= 20) r JOIN part ON p_partkey = r.item_id LEFT JOIN user_tags t ON t.user_id = r.user_id AND t.tag_type = 'category' AND t.tag = p_type LEFT JOIN user_tags s ON s.user_id = r.user_id AND s.tag_type = 'size' AND s.tag = CAST(CAST(floor(p_size / 10.0) AS BIGINT) AS VARCHAR)")
+@query("SELECT r.user_id, r.item_id, round(0.5 * coalesce(t.weight, 0) + 0.3 * coalesce(s.weight, 0) + 0.2 * (p_retailprice < 1000)::INT, 6) AS match_total FROM small_rows r JOIN part ON p_partkey = r.item_id LEFT JOIN user_tags t ON t.user_id = r.user_id AND t.tag_type = 'category' AND t.tag = p_type LEFT JOIN user_tags s ON s.user_id = r.user_id AND s.tag_type = 'size' AND s.tag = CAST(CAST(floor(p_size / 10.0) AS BIGINT) AS VARCHAR)")
 def f4_match_features(b):
     p = b.t("part").select(F.col("p_partkey").alias("item_id"), "p_type", F.floor(F.col("p_size") / 10).cast("string").alias("size_tag"), (F.col("p_retailprice") < 1000).cast("int").alias("cheap"))
     kind = b.user_tags.where("tag_type = 'category'").select("user_id", F.col("tag").alias("p_type"), F.col("weight").alias("by_type"))
     size = b.user_tags.where("tag_type = 'size'").select("user_id", F.col("tag").alias("size_tag"), F.col("weight").alias("by_size"))
-    rows = small(b).where("pre_rank <= 20").join(p, "item_id").join(kind, ["user_id", "p_type"], "left").join(size, ["user_id", "size_tag"], "left")
+    rows = small(b).join(p, "item_id").join(kind, ["user_id", "p_type"], "left").join(size, ["user_id", "size_tag"], "left")
     return rows.select("user_id", "item_id", F.round(features.match_total({"by_type": 0.5, "by_size": 0.3, "cheap": 0.2}), 6).alias("match_total"))
 
 
@@ -334,9 +336,9 @@ def rescued(b):
     return rescue.rescue_fusion(rows)
 
 
-@query("SELECT user_id, item_id, round(rescue_bonus, 6) AS rescue_bonus, final_rank FROM rescue_ranks")
+@query("SELECT user_id, item_id, rescue_bonus, final_rank FROM rescue_ranks")
 def h9_rescue_fusion(b):
-    return out(floats(rescued(b).select("user_id", "item_id", "rescue_bonus", "final_rank"), "rescue_bonus"))
+    return out(rescued(b).select("user_id", "item_id", "rescue_bonus", "final_rank"))
 
 
 cte(short_seeds="SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY model_score DESC, item_id) <= 5 OR row_number() OVER (PARTITION BY user_id, band ORDER BY model_score DESC, item_id) <= 2)::INT AS seed FROM banded_rows")

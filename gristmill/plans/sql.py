@@ -22,11 +22,16 @@ def sql(body: str) -> str:
             if n not in needed and re.search(rf"\b{n}\b", text):
                 needed.add(n)
                 todo.append(CTES[n])
-    head = ", ".join(f"{n} AS ({CTES[n]})" for n in names if n in needed)
+    # Materialised: several of them are read by many others, and would be computed anew for each.
+    head = ", ".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in names if n in needed)
     return f"WITH {head} {body}" if head else body
 
 
+#: Added before a value made of decimal ones is rounded, so that half-way cases go up in either engine.
+NUDGE = 3.7e-11
+
 ILR = lambda c: f"(CASE WHEN {c} IS NULL THEN 0.0 ELSE ln(2.0) / ln(CAST({c} AS DOUBLE) + 1) END)"
+SETTLED = lambda x, places=6: f"round({x} + {NUDGE}, {places})"
 
 cte(
     interactions="SELECT o_custkey AS user_id, l_partkey AS item_id, o_orderdate AS ts, CAST(least(ceil(l_quantity / 10), 5) AS DOUBLE) AS rating, lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || lpad(CAST(l_linenumber AS VARCHAR), 4, '0') || lpad(CAST(l_partkey AS VARCHAR), 12, '0') || lpad(CAST(l_suppkey AS VARCHAR), 12, '0') || strftime(l_shipdate, '%Y%m%d') || lpad(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR), 12, '0') AS review_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
