@@ -174,15 +174,92 @@ def test_decontamination_sees_changed_values_and_checks_slots(spark):
     assert again == {i: x.contaminated for i, x in got.items()}
 
 
-def test_decontamination_sees_changed_names_that_open_sentences(spark):
-    bench = spark.createDataFrame([(1, "Tom has 3 apples. Tom buys 5 more. How many does Tom have?")], "item_id long, text string")
+def test_decontamination_reads_names_numbers_and_alignments(spark):
+    bench = [
+        ("a", "Tom has 3 apples. Tom buys 5 more. How many does Tom have?"),
+        ("b", "The train from Mary O'Brien to McDonald ran 5 km and then Mary O'Brien saw it stop"),
+        ("c", "2 + 2 = 4"), ("d", "What now?"), ("e", " ".join(prose(31, 40).split())),
+    ]
+    far = lambda n: f" {prose(n, 90)} "
     rows = [
         (1, "Ann has 4 apples. Ann buys 7 more. How many does Ann have?"), (2, 'Well: "Ann has 4 apples. Ann buys 7 more. How many does Ann have?"'),
         (3, "Ann has 4 apples. Bob buys 7 more. How many does Eve have?"), (4, "Tom has 3 apples. Tom buys 5 more. How many does Tom have?"),
         (5, "Ann has 4 pears. Ann sold 7 more. How often does Ann run?"),
+        # Names of other lengths, a number in digits, a unit without a space.
+        (6, f"{prose(7, 20)} the train from Zoe to Ann Mary D'Arc ran 12km and then Zoe saw it stop {prose(8, 20)}"),
+        # Two names of the item may not share one of the document.
+        (7, f"{prose(7, 20)} the train from Zoe to Zoe ran 12km and then Zoe saw it stop {prose(8, 20)}"),
+        (8, f"{prose(9, 5)}\n2 + 2 = 4\n"), (9, "2 + 3 = 5"), (10, "what NOW"), (11, "what now is it"),
+        (12, far(3) + bench[4][1] + far(4)),
+        # The same windows, but scattered over a long text.
+        (13, far(5) + far(6).join(" ".join(bench[4][1].split()[i : i + 8]) for i in range(0, 40, 8)) + far(7)),
     ]
-    got = {x.doc_id: x.contaminated for x in decontaminate.decontaminate(spark.createDataFrame(rows, DOCS), bench).collect()}
-    assert got == {1: True, 2: True, 3: False, 4: True, 5: False}
+    got = {x.doc_id: x.items for x in decontaminate.decontaminate(spark.createDataFrame(rows, DOCS), spark.createDataFrame(bench, "item_id string, text string")).collect()}
+    assert got == {1: ["a"], 2: ["a"], 3: [], 4: ["a"], 5: [], 6: ["b"], 7: [], 8: ["c"], 9: [], 10: ["d"], 11: [], 12: ["e"], 13: []}
+
+
+TEMPLATE_TEXTS = [
+    "Tom has 3 apples. Tom buys 5 km more. How many does Mary Ann O'Brien have?", "  lead \n\nMcDonald's ran 5km, 7 % of iPhone USA NASA Usa  two  Three", "", "a b \u2014 c",
+    'John\nSmith went (Home) 12:30 3.5kg "Well Done"', "\u00e9 \u00df \u00c9b\u00e8ne \u00c9COLE x1y 5-year-old", "one two  twenty-two 3 Miles", ". . .",
+]
+
+
+def template_brute(text):
+    """The template words by plain Python: (word, kind of slot) in order."""
+    import regex
+
+    cap = r"\p{Lu}(?<![\p{L}\p{M}]\p{Lu})['\u2019\p{Lu}]*\p{Ll}[\p{L}\p{M}'\u2019]*"
+    gap = r"[\s\p{Z}]+"
+    text = regex.sub(rf"(?i)\p{{N}}+(?:[.,:/]\p{{N}}+)*[ ]?(?:{decontaminate.UNITS})(?![\p{{L}}\p{{N}}])", decontaminate.NUMBER + decontaminate.UNIT, text)
+    text = regex.sub(rf"{cap}(?:{gap}{cap})*", decontaminate.NAME, text)
+    text = regex.sub(r"\p{N}+(?:[.,:/]\p{N}+)*", decontaminate.NUMBER, text)
+    words = regex.split(gap, text.lower())
+    words = [regex.sub(rf"[^\p{{L}}\p{{M}}{decontaminate.NAME}{decontaminate.NUMBER}{decontaminate.UNIT}]+", "", w) for w in words]
+    return [decontaminate.NUMBER if w in decontaminate.NUMBER_WORDS else w for w in words if w]
+
+
+def test_templates_equal_brute_force_and_keep_their_words_places(spark):
+    r = random.Random(12)
+    bits = ["Tom", "Ann", "O'Brien", "has", "5", "km", "3.5kg", "two", "The", "apples.", "\u2014", "\n", '"Well', "NASA", "1,000", "x"]
+    texts = TEMPLATE_TEXTS + [r.choice([" ", "  ", "\n"]).join(r.choice(bits) for _ in range(r.randint(1, 14))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    fast = {x.k: x.w for x in df.select("k", F.transform(decontaminate.template(F.col("text")), decontaminate._number_words).alias("w")).collect()}
+    slow = {}
+    for x in decontaminate.tokens(df, "k").orderBy("k", "pos").collect():
+        slow.setdefault(x.k, []).append(x.word)
+    for k, t in enumerate(texts):
+        assert fast[k] == slow.get(k, []) == template_brute(t), t
+
+
+def test_decontamination_equals_brute_force(spark):
+    """Copies of items with words changed at random: covered as an enumeration of all alignments says."""
+    r = random.Random(21)
+    rules = decontaminate.Rules()
+    bench = [(i, prose(300 + i, r.randint(8, 30))) for i in range(12)]
+    rows = []
+    for d in range(90):
+        own = r.choice(bench)[1].split()
+        for _ in range(r.randint(0, 4)):
+            own[r.randrange(len(own))] = r.choice(WORDS)
+        rows.append((d, " ".join([prose(d, 20), *own, prose(d + 99, 20)])))
+    width, expected = rules.window, set()
+    for d, t in rows:
+        words = t.split()
+        at = {}
+        for k in range(len(words) - width + 1):
+            at.setdefault(tuple(words[k : k + width]), []).append(k)
+        for i, text in bench:
+            own = text.split()
+            n, span = len(own) - width + 1, len(own)
+            for p in (0, 1):
+                places = {}
+                for k in range(n):
+                    for a in at.get(tuple(own[k : k + width]), []):
+                        places.setdefault(math.floor((a - k + p * span / 2) / span), set()).add(k)
+                if any(len(x) >= rules.coverage * n - 1e-9 for x in places.values()):
+                    expected.add((d, i))
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contamination(spark.createDataFrame(rows, DOCS), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == expected and len(got) > 20
 
 
 def test_language_id_held_out(spark):
