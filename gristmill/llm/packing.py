@@ -28,21 +28,21 @@ from pyspark.sql import types as T
 
 from gristmill.llm._shared import write_table
 
-CACHE_WORDS = 300_000
+CACHE_WORDS, CACHE_CHARS = 300_000, 64
 Pattern = tuple[tuple[int, int], ...]  # (length, count), lengths falling
 
 
 @dataclass(frozen=True)
 class Packing:
     """``step``, ``rate``: of the multiplicative weights: the share of the scarcest length's demand that each configuration takes,
-    and how fast prices fall with coverage; ``deal``: sub-ranks of each length."""
+    and how fast prices fall with coverage; ``lot``: about how many pieces of one length are ranked together."""
 
     tokenizer: str
     capacity: int = 2048
     end_id: int = 0
     step: float = 0.5
     rate: float = 3.0
-    deal: int = 512
+    lot: int = 20_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -57,15 +57,38 @@ def _byte_letters() -> dict[int, str]:
 _SIMPLE = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+|[!-&(-/:;=-@\\[-`{-~]+")
 
 
+#: What a tokenizer file must say for words to be encoded one by one: white space always ends a word, letters are lower-cased.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def _by_words(spec: dict) -> bool:
+    """Whether a tokenizer file is of the kind that ``encoder`` takes apart word by word."""
+    model, parts = spec.get("model") or {}, (spec.get("pre_tokenizer") or {}).get("pretokenizers")
+    plain = not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    marked = all("<" in t["content"] and not t["lstrip"] and not t["rstrip"] for t in spec.get("added_tokens") or [])
+    return model.get("type") == "BPE" and plain and marked and (spec.get("normalizer") or {}).get("normalizers") == _NORMALIZER and parts == [_SPLIT, _BYTES]
+
+
 def encoder(path: str):
     """text -> its ids as little-endian uint32 bytes.
 
-    White space always ends a word in this tokenizer, so words are encoded once each and remembered. A word of simple pieces is
-    encoded piece by piece by the merges alone, any other by the whole tokenizer. Either memory is emptied when it has
-    ``CACHE_WORDS`` entries."""
+    Where the file says that white space always ends a word, words are encoded once each and remembered: a word of simple pieces
+    piece by piece by the merges alone, any other by the whole tokenizer. Either memory is emptied when it has ``CACHE_WORDS``
+    entries, none of over ``CACHE_CHARS`` characters. Texts go whole through any other tokenizer."""
+    import json
+
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+
+    def whole(text: str) -> bytes:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    if not _by_words(json.loads(tokenizer.to_str())):
+        return whole
     merge = tokenizer.model.tokenize
     letters = _byte_letters()
     known: dict[str, bytes] = {"": b""}
@@ -77,7 +100,9 @@ def encoder(path: str):
             if len(parts) >= CACHE_WORDS:
                 parts.clear()
             spelled = p if p.isascii() else "".join([letters[b] for b in p.encode()])
-            out = parts[p] = struct.pack(f"<{len(ids)}I", *ids) if (ids := [t.id for t in merge(spelled)]) else b""
+            out = struct.pack(f"<{len(ids)}I", *ids) if (ids := [t.id for t in merge(spelled)]) else b""
+            if len(p) <= CACHE_CHARS:
+                parts[p] = out
         return out
 
     def word(w: str) -> bytes:
@@ -86,12 +111,12 @@ def encoder(path: str):
         if sum(map(len, found)) == len(low):
             out = b"".join([part(p) for p in found])
         else:
-            ids = tokenizer.encode(w, add_special_tokens=False).ids
-            out = struct.pack(f"<{len(ids)}I", *ids)
+            out = whole(w)
         if len(known) >= CACHE_WORDS:
             known.clear()
             known[""] = b""
-        known[w] = out
+        if len(w) <= CACHE_CHARS:
+            known[w] = out
         return out
 
     def encode(text: str) -> bytes:
@@ -274,14 +299,17 @@ def pack(docs: DataFrame, how: Packing) -> DataFrame:
     of lengths, not with the input: a pattern takes half of a length's demand, or a whole sequence where that is less.
     """
     spark = docs.sparkSession
-    pieces = write_table(token_pieces(docs, how).withColumn("lot", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(how.deal)).cast("int")), "pieces")
-    sizes = write_table(pieces.groupBy("length", "lot").agg(F.count(F.lit(1)).alias("n")), "lots")
-    histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    # The number is written with the pieces, so that equal ones are told apart and a task that runs again ranks them alike.
+    pieces = write_table(token_pieces(docs, how).withColumn("number", F.monotonically_increasing_id()), "pieces")
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots = _slots(solve(histogram, how))
-    # At most capacity * deal rows, of which a length has at most ``deal``.
+    # A length is ranked in as many lots as it needs, however often it occurs. One row a length, so at most ``capacity`` are broadcast.
+    dealt = spark.createDataFrame([(x, -(-n // how.lot)) for x, n in histogram.items()], "length long, lots long")
+    pieces = pieces.join(F.broadcast(dealt), "length").withColumn("lot", F.pmod(F.xxhash64("number"), F.col("lots")))
+    sizes = pieces.groupBy("length", "lot").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("length").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
     lots = sizes.select("length", "lot", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "lot").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "lot").orderBy("number")
     ranked = pieces.withColumn("nth", F.row_number().over(within) - 1).join(lots, ["length", "lot"]).withColumn("rank", F.col("before") + F.col("nth"))
     table = spark.createDataFrame(slots, SLOTS)
     # Per length its slots in rank order; a piece finds its own by the number of slots that begin at or before its rank.

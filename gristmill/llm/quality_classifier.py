@@ -2,7 +2,7 @@
 
 A document's statistics are standardised and mapped to ``features`` random Fourier features, whose dot products approximate a
 Gaussian kernel. Each partition of the labelled sample sums its part of the normal equations, by fold; the sums (of a size that
-doesn't depend on the input) meet on the driver and are solved for ridge weights. The calibration is fitted to predictions of
+doesn't depend on the input) are added fold by fold on the executors, and one sum a fold is solved on the driver for ridge weights. The calibration is fitted to predictions of
 models that have not seen the row's fold, by pooling adjacent violators.
 """
 
@@ -102,11 +102,17 @@ def _equations(mean: np.ndarray, scale: np.ndarray, how: Kernel):
             for k in range(how.folds):
                 own = z[fold == k]
                 sums[k] += own.T @ np.hstack([own, y[fold == k][:, None]])
-        yield pd.DataFrame({"sums": [sums.tobytes()]})
+        yield pd.DataFrame({"fold": range(how.folds), "sums": [x.tobytes() for x in sums]})
 
     return run
 
 
+def _added(rows: pd.DataFrame) -> pd.DataFrame:
+    parts = sorted(map(bytes, rows["sums"]))  # an order of their own, so that the last bits don't depend on how rows arrive
+    total = sum(np.frombuffer(x, np.float64) for x in parts)
+    return pd.DataFrame({"fold": rows["fold"].iloc[:1], "sums": [total.tobytes()]})
+
+
 def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least-squares rising steps: the mean raw score and the mean label of each pool, pools in rising order."""
     pools: list[list[float]] = []  # labels, weight, raw scores
@@ -137,8 +143,9 @@ def fit(docs: DataFrame, labels: DataFrame, how: Kernel = Kernel()) -> Model:  #
     dealt = seen.coalesce(how.partitions).sortWithinPartitions(*STATISTICS)
     d = how.features + 1
     sums = np.zeros((how.folds, d, d + 1))
-    for r in dealt.mapInPandas(_equations(mean, scale, how), "sums binary").collect():
-        sums += np.frombuffer(r["sums"], np.float64).reshape(sums.shape)
+    parts = dealt.mapInPandas(_equations(mean, scale, how), "fold int, sums binary")
+    for r in parts.groupBy("fold").applyInPandas(_added, "fold int, sums binary").collect():
+        sums[r["fold"]] = np.frombuffer(r["sums"], np.float64).reshape(d, d + 1)
 
     def solve(part: np.ndarray) -> np.ndarray:
         return np.linalg.solve(part[:, :d] + how.ridge * np.eye(d), part[:, d])

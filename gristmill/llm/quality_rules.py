@@ -1,9 +1,10 @@
 """Quality rules: a linear-chain conditional random field marks each line of a text as content or boilerplate.
 
 Base counts over whole texts decide some documents at once. For the others, Viterbi decoding finds the likeliest labelling of the
-line sequence, and the share of words that stand in content lines decides. The field is trained here, by gradient ascent on the
-conditional likelihood, on a bounded sample of documents whose lines are marked by plain rules (``rule_marks``); the chain then
-smooths over lines that the rules alone get wrong.
+line sequence, and the share of words that stand in content lines decides. No line has a label; what the field learns from are
+documents that are marked good or bad as wholes. Lines of good ones are content. Lines of bad ones begin as boilerplate and are then
+decoded with the field learned so far, so that the good lines which bad documents also hold become content; a bad document keeps its
+likeliest boilerplate line at least. The field is trained by gradient ascent on the conditional likelihood of these marks.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._shared import bounded_share
+from gristmill.llm._shared import bounded_share, release, write_table
 from gristmill.llm._words import SAME, SPACE, chunks, constants, mix64, owners, span_hashes, word_bounds
 
 _SYMBOL = np.zeros(256, bool)
@@ -38,16 +39,19 @@ CONTENT, BOILERPLATE = 0, 1
 
 @dataclass(frozen=True)
 class Rules:
-    """``content``: share of a document's words that must stand in content lines; ``sample_rows``: documents that the field is
-    trained on, at most (about)."""
+    """``content``: share of a document's words that must stand in content lines. The field is trained on about ``sample_rows``
+    marked documents of either kind at most, and of their lines, in sequences of ``sequence`` lines, on about ``sample_sequences``."""
 
     least_words: int = 50
     most_repeated_percent: int = 50
     content: float = 0.5
     sample_rows: int = 2000
-    steps: int = 150
-    rate: float = 0.5
-    decay: float = 1e-3
+    sequence: int = 32
+    sample_sequences: int = 4000
+    rounds: int = 2
+    steps: int = 100
+    rate: float = 0.05
+    decay: float = 1e-4
 
 
 @dataclass(frozen=True)
@@ -148,18 +152,11 @@ def measure(buf: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray]
     return base, line_owner, line_words, features
 
 
-def rule_marks(features: np.ndarray) -> np.ndarray:
-    """The rules that the field learns from: boilerplate is a line of mostly symbols, capitals, marks, echoes of words, an earlier
-    line again, or a notice."""
-    f = dict(zip(FEATURES, features.T, strict=True))
-    bad = (f["symbols"] > 0.25) | (f["upper"] > 0.7) | (f["bangs"] > 0.5) | (f["echoes"] > 0.4) | (f["again"] > 0) | (f["notice"] > 0)
-    return bad.astype(np.int64)
-
-
 def train(documents: list[tuple[np.ndarray, np.ndarray]], rules: Rules) -> Field:
-    """Gradient ascent on the mean log-likelihood of (features, marks) sequences; sequences are padded to run side by side."""
+    """Gradient ascent on the mean log-likelihood of (features, marks) sequences; sequences are padded to run side by side, features
+    are brought to one scale, and each weight has a step of its own."""
     emit, move = np.zeros((len(FEATURES), 2)), np.zeros((2, 2))
-    documents = [(x[:400], y[:400]) for x, y in documents if len(x)]
+    documents = [(x, y) for x, y in documents if len(x)]
     if not documents:
         return Field(emit, move)
     length = np.array([len(x) for x, _ in documents])
@@ -169,6 +166,10 @@ def train(documents: list[tuple[np.ndarray, np.ndarray]], rules: Rules) -> Field
     for i, (a, b) in enumerate(documents):
         x[i, : len(a)], y[i, : len(b)] = a, b
     real = np.arange(deep)[None, :] < length[:, None]
+    spread = x[real].std(axis=0)
+    spread = np.where(spread > 1e-6, spread, 1.0)
+    x /= spread
+    emit_steps, move_steps = np.full(emit.shape, 1e-8), np.full(move.shape, 1e-8)
     pair = real[:, 1:]
     total = real.sum()
     truth = np.eye(2)[y] * real[..., None]
@@ -188,9 +189,12 @@ def train(documents: list[tuple[np.ndarray, np.ndarray]], rules: Rules) -> Field
         whole = np.logaddexp(up[:, -1, 0], up[:, -1, 1])
         single = np.exp(up + down - whole[:, None, None]) * real[..., None]
         joint = np.exp(up[:, :-1, :, None] + move + (score + down)[:, 1:, None, :] - whole[:, None, None, None]) * pair[..., None, None]
-        emit += rules.rate * (np.einsum("ntf,ntk->fk", x, truth - single) / total * 4 - rules.decay * emit)
-        move += rules.rate * ((pairs - joint.sum(axis=(0, 1))) / total * 4 - rules.decay * move)
-    return Field(emit, move)
+        emit_up = np.einsum("ntf,ntk->fk", x, truth - single) / total - rules.decay * emit
+        move_up = (pairs - joint.sum(axis=(0, 1))) / total - rules.decay * move
+        emit_steps, move_steps = 0.9 * emit_steps + 0.1 * emit_up**2, 0.9 * move_steps + 0.1 * move_up**2
+        emit += rules.rate * emit_up / np.sqrt(emit_steps)
+        move += rules.rate * move_up / np.sqrt(move_steps)
+    return Field(emit / spread[:, None], move)
 
 
 def viterbi(scores: np.ndarray, move: np.ndarray) -> list[int]:
@@ -209,22 +213,50 @@ def viterbi(scores: np.ndarray, move: np.ndarray) -> list[int]:
     return out[::-1]
 
 
-def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        out = []
-        for _, _, buf, offsets in chunks(pa.array(rows["text"].tolist(), pa.string())):
-            _, owner, _, features = measure(buf, offsets)
-            out += [features[owner == i].astype(np.float32).tobytes() for i in np.unique(owner)]
-        yield pd.DataFrame({"features": out})
+def learn(sequences: list[tuple[np.ndarray, bool]], rules: Rules) -> Field:
+    """The field of (features, whether the document is good) sequences."""
+    bad = [i for i, (_, good) in enumerate(sequences) if not good]
+    marks = [np.full(len(x), CONTENT if good else BOILERPLATE) for x, good in sequences]
+    field = train([(x, y) for (x, _), y in zip(sequences, marks, strict=True)], rules)
+    for _ in range(rules.rounds - 1 if bad else 0):
+        for i in bad:
+            scores = sequences[i][0] @ field.emit
+            marks[i] = np.array(viterbi(scores, field.move))
+            marks[i][(scores[:, BOILERPLATE] - scores[:, CONTENT]).argmax()] = BOILERPLATE
+        field = train([(x, y) for (x, _), y in zip(sequences, marks, strict=True)], rules)
+    return field
+
+
+def _sequences(most: int):
+    """label, text -> the features of each document's lines, cut into sequences of ``most`` lines, all of them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            labels, out = rows["label"].tolist(), []
+            for first, _, buf, offsets in chunks(pa.array(rows["text"].tolist(), pa.string())):
+                _, owner, _, features = measure(buf, offsets)
+                for i in np.unique(owner).tolist():
+                    own = features[owner == i].astype(np.float32)
+                    out += [(labels[first + i], own[k : k + most].tobytes()) for k in range(0, len(own), most)]
+            yield pd.DataFrame(out, columns=["label", "features"])
+
+    return run
 
 
-def fit(docs: DataFrame, rules: Rules = Rules()) -> Field:  # noqa: B008
-    """Train the field on a bounded sample of ``docs`` (doc_id, text). Of a sampled text's lines the first 400 are learned from;
-    prediction always reads them all. Null and empty texts teach nothing."""
-    sample = bounded_share(docs.select("doc_id", F.col("text").cast("string").alias("text")), F.col("doc_id"), rules.sample_rows)
-    found = sample.select("text").mapInPandas(_lines, "features binary").toPandas()["features"]
-    tables = [np.frombuffer(b, np.float32).reshape(-1, len(FEATURES)).astype(np.float64) for b in sorted(map(bytes, found))]
-    return train([(x, rule_marks(x)) for x in tables], rules)
+def fit(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> Field:  # noqa: B008
+    """Learn from ``labels`` (doc_id, label: 1 good, 0 bad) and the texts of ``docs`` (doc_id, text).
+
+    Null labels are left out, of several labels of a doc_id the largest counts; without labels every line is content. The sampled
+    labels are bounded, so they are broadcast to the texts, and so are the sequences that come to the driver: at most about
+    ``sample_sequences * sequence * 36`` bytes, however long the texts are. Null and empty texts teach nothing."""
+    known = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    sample = F.broadcast(bounded_share(known, F.col("doc_id"), rules.sample_rows))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("label", "text")
+    cut = write_table(rows.mapInPandas(_sequences(rules.sequence), "label int, features binary"), "sequences")
+    found = bounded_share(cut, F.col("features"), rules.sample_sequences).toPandas()
+    release(cut)
+    tables = [(np.frombuffer(b, np.float32).reshape(-1, len(FEATURES)).astype(np.float64), good) for b, good in sorted(zip(map(bytes, found["features"]), found["label"] == 1, strict=True))]
+    return learn(tables, rules)
 
 
 COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"

@@ -1,18 +1,20 @@
 """Substring dedup: units of lines are normalised and hashed, and only the earliest ranked occurrence of each stays.
 
-A unit is a line, or a piece of a line that ends at a sentence end; pieces of under ``UNIT_WORDS`` words join the next one (at the
+A unit is a line, or a piece of a line that ends at a sentence end; pieces of under ``unit_words`` words join the next one (at the
 end of a line, the one before), so that a passage is found again wherever in a line it was put. Units are lower-cased, their
 white space is folded, and a 64-bit digest is taken (the odds of a collision among n units are about n * n / 2**65). Of each
-digest, the document of the least doc_id keeps its first occurrence. Repeated lines of ``UNIT_WORDS`` words or more are removed
+digest, the document of the least doc_id keeps its first occurrence. Repeated lines of ``unit_words`` words or more are removed
 everywhere else. Pieces of lines are removed in runs of consecutive repeated units of ``min_words`` words together; shorter ones
-are chance or set phrases and stay. Lines of under ``UNIT_WORDS`` words say nothing alone, so they are held together with their
+are chance or set phrases and stay. Lines of under ``unit_words`` words say nothing alone, so they are held together with their
 neighbours: windows of units of ``min_words`` words that have such a line in them are hashed too, and repeated ones are removed.
+With ``Limits(1, 1)`` nothing is too short: every unit that is repeated is removed.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
@@ -23,8 +25,16 @@ from pyspark.sql import functions as F
 
 from gristmill.llm._shared import write_table
 
-UNIT_WORDS = 4
-MIN_WORDS = 10
+
+
+@dataclass(frozen=True)
+class Limits:
+    """``unit_words``: words of a unit that counts alone; ``min_words``: words of a run of pieces, and of a window of short lines."""
+
+    unit_words: int = 4
+    min_words: int = 10
+
+
 _CUT = re.compile(r"[.!?]+[ \t\r\f\v]+|[ \t\r\f\v]*\n[ \t\r\f\v\n]*")
 
 
@@ -32,7 +42,7 @@ def _digest(data: bytes, person: bytes = b"") -> int:
     return int.from_bytes(blake2b(data, digest_size=8, person=person).digest(), "little", signed=True)
 
 
-def units(text: str) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int]]]:
+def units(text: str, unit_words: int) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int]]]:
     """(start, end, start of the next unit, words, digest) of each unit; (first unit, unit after the last) of each line."""
     out: list[tuple[int, int, int, int, int]] = []
     lines: list[tuple[int, int]] = []
@@ -41,7 +51,7 @@ def units(text: str) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[i
     def add(end: int, after: int, closes: bool) -> None:
         nonlocal start, line_first
         words = text[start:end].lower().split()
-        if len(words) < UNIT_WORDS:
+        if len(words) < unit_words:
             if not closes:
                 return
             if len(out) > line_first:  # joins the unit before it in its line
@@ -68,31 +78,31 @@ def units(text: str) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[i
     return out, lines
 
 
-def passages(text: str, min_words: int) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int, bool]]]:
+def passages(text: str, limits: Limits) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int, bool]]]:
     """The units, and (first unit, unit after the last, digest, whether it goes wherever it is repeated) of each unit of
-    ``UNIT_WORDS`` words or more, of each line of several units, and of each window with a short line in it.
+    ``unit_words`` words or more, of each line of several units, and of each window with a short line in it.
 
     The windows are the least ones of ``min_words`` words that begin at a unit, and those that end at a short line. Any repeated
     passage of ``min_words`` words has one of them around each of its short lines."""
-    found, lines = units(text)
+    found, lines = units(text, limits.unit_words)
     whole = {i for i, j in lines if j == i + 1}
-    out = [(i, i + 1, u[4], i in whole) for i, u in enumerate(found) if u[3] >= UNIT_WORDS]
+    out = [(i, i + 1, u[4], i in whole) for i, u in enumerate(found) if u[3] >= limits.unit_words]
     packed = [u[4].to_bytes(8, "little", signed=True) for u in found]
     out += [(i, j, _digest(b"".join(packed[i:j]), b"line"), True) for i, j in lines if j > i + 1]
-    short = [i for i, u in enumerate(found) if u[3] < UNIT_WORDS]
+    short = [i for i, u in enumerate(found) if u[3] < limits.unit_words]
     if short:
         ends = np.cumsum([0, *(u[3] for u in found)])
-        before = np.cumsum([0, *(u[3] < UNIT_WORDS for u in found)])
+        before = np.cumsum([0, *(u[3] < limits.unit_words for u in found)])
         at = np.arange(len(found))
-        after = np.searchsorted(ends, ends[:-1] + min_words)
-        back = np.searchsorted(ends, ends[1:] - min_words, side="right") - 1
+        after = np.searchsorted(ends, ends[:-1] + limits.min_words)
+        back = np.searchsorted(ends, ends[1:] - limits.min_words, side="right") - 1
         windows = {(i, j) for i, j in zip(at.tolist(), after.tolist(), strict=True) if j <= len(found) and before[j] > before[i]}
         windows |= {(int(back[i]), i + 1) for i in short if back[i] >= 0}
         out += [(i, j, _digest(b"".join(packed[i:j]), b"window"), True) for i, j in sorted(windows)]
     return found, out
 
 
-def _digests(min_words: int):
+def _digests(limits: Limits):
     """mapInPandas body: doc_id, text -> doc_id, digest, n: each digest of a text once, with its number there."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,7 +111,7 @@ def _digests(min_words: int):
             for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
                 if not text:
                     continue
-                digests, n = np.unique(np.array([p[2] for p in passages(text, min_words)[1]], np.int64), return_counts=True)
+                digests, n = np.unique(np.array([p[2] for p in passages(text, limits)[1]], np.int64), return_counts=True)
                 ids.append(np.full(len(digests), int(doc_id), np.int64))
                 all_digests.append(digests)
                 numbers.append(n)
@@ -111,11 +121,12 @@ def _digests(min_words: int):
     return run
 
 
-def cut(text: str, repeated: dict[int, bool], min_words: int) -> tuple[str, list[tuple[int, int]], int]:
-    """The text without its repeated lines and runs, their (start, end) in ``text``, and the words removed.
+def cut(text: str, repeated: dict[int, bool], limits: Limits) -> tuple[str, list[tuple[int, int]], int]:
+    """The text without its repeated lines and runs, their (start, end) in ``text`` with the separator behind them, and the words
+    removed. The text without those spans is the returned one, character for character.
 
     ``repeated``: digest -> whether this document keeps the first occurrence."""
-    found, parts = passages(text, min_words)
+    found, parts = passages(text, limits)
     kept_to: dict[int, int] = {}
     again, goes = [False] * len(found), [False] * len(found)
     for i, j, digest, alone in parts:
@@ -132,7 +143,7 @@ def cut(text: str, repeated: dict[int, bool], min_words: int) -> tuple[str, list
         end = at
         while end < len(found) and again[end]:
             end += 1
-        if sum(u[3] for u in found[at:end]) >= min_words:
+        if sum(u[3] for u in found[at:end]) >= limits.min_words:
             goes[at:end] = [True] * (end - at)
         at = max(end, at + 1)
     spans, removed = [], 0
@@ -140,44 +151,42 @@ def cut(text: str, repeated: dict[int, bool], min_words: int) -> tuple[str, list
         if goes[k]:
             removed += u[3]
             if k and goes[k - 1]:
-                spans[-1] = (spans[-1][0], u[1], u[2])
+                spans[-1] = (spans[-1][0], u[2])
             else:
-                spans.append(u[:3])
-    if not spans:
-        return text, [], 0
+                spans.append((u[0], u[2]))
     kept, at = [], 0
-    for start, _, after in spans:
+    for start, after in spans:
         kept.append(text[at:start])
         at = after
-    kept.append(text[at:])
-    return "".join(kept).strip() if any(s[0] == 0 or s[2] == len(text) for s in spans) else "".join(kept), [s[:2] for s in spans], removed
+    return "".join([*kept, text[at:]]), spans, removed
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _clean(min_words: int):
+def _clean(limits: Limits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             carried, out = batch.column("carried"), []
             for text, repeated in zip(carried.field("text").to_pylist(), batch.column("repeated").to_pylist(), strict=True):
-                out.append(cut(text, {r["digest"]: r["first"] for r in repeated}, min_words) if text and repeated else (text, [], 0))
+                out.append(cut(text, {r["digest"]: r["first"] for r in repeated}, limits) if text and repeated else (text, [], 0))
             spans = pa.array([[{"start": a, "end": b} for a, b in x[1]] for x in out], _SPANS)
             yield pa.RecordBatch.from_arrays([carried, pa.array([x[0] for x in out], pa.string()), pa.array([x[2] for x in out], pa.int64()), spans], names=["carried", "clean", "removed_words", "spans"])
 
     return run
 
 
-def clean_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def clean_rows(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """carried (a struct of the row's columns), clean (its text without repeats), removed_words, spans (of the original text: start,
-    end in code points) per row of ``docs`` (doc_id, text and others).
+    end in code points; ``clean`` is the text without them) per row of ``docs`` (doc_id, text and others).
 
     Null texts stay null, empty ones empty. Rows that share a doc_id are one document: all keep what that document keeps, so that
-    a repeated row is not cut for its twin. A row without doc_id neither owns nor loses a unit. Empty input gives no rows.
+    a repeated row is not cut for its twin; which of them comes first doesn't matter, as each is cut by itself: of what the document
+    owns, each row keeps its first occurrence. A row without doc_id neither owns nor loses a unit. Empty input gives no rows.
     """
     ids, text = docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")
     read = docs.select(ids, text)
-    found = write_table(read.where("doc_id is not null").mapInPandas(_digests(min_words), "doc_id long, digest long, n long"), "units")
+    found = write_table(read.where("doc_id is not null").mapInPandas(_digests(limits), "doc_id long, digest long, n long"), "units")
     owners = found.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.sum("n").alias("total")).where("total > 1").select("digest", "owner")
     hits = found.join(owners.hint("merge"), "digest").where("doc_id <> owner or n > 1")
     lists = hits.groupBy("doc_id").agg(F.collect_set(F.struct("digest", (F.col("doc_id") == F.col("owner")).alias("first"))).alias("repeated"))
@@ -185,10 +194,10 @@ def clean_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # Both sides grow with the input, so neither is broadcast.
     dealt = whole.join(lists.hint("merge"), "doc_id", "left").select("carried", "repeated")
     kind = whole.schema["carried"].dataType.simpleString()
-    return dealt.mapInArrow(_clean(min_words), f"carried {kind}, clean string, removed_words long, spans array<struct<start:int,end:int>>")
+    return dealt.mapInArrow(_clean(limits), f"carried {kind}, clean string, removed_words long, spans array<struct<start:int,end:int>>")
 
 
-def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """doc_id, text (without repeats), removed_words, spans per row of ``docs``, as ``clean_rows``; other columns are ignored."""
-    cleaned = clean_rows(docs.select("doc_id", "text"), min_words)
+    cleaned = clean_rows(docs.select("doc_id", "text"), limits)
     return cleaned.select(F.col("carried.doc_id").cast("long").alias("doc_id"), F.col("clean").alias("text"), "removed_words", "spans")

@@ -1,9 +1,11 @@
 """WARC archives with revisit records: write deduplicated, read back.
 
-Headers (never payloads) are grouped by payload digest to find each payload's response; the others revisit it. Archives go through
-Spark's text sink as whole-file gzip: a record is one value, the record separator is the sink's line separator, so that commit,
-retry and any Hadoop file system come with the sink and no executor needs a folder of its own. Archives are read as binary files,
-each about as large as a partition of the shuffle that they are written from; a response's payload must match its digest.
+Headers (never payloads) are grouped by payload digest to find each payload's response; the others revisit it. Which pages revisit is
+joined to the pages once, and that is the only shuffle that payloads ride through, those of revisits too, since only the join tells.
+Archives go through Spark's text sink as whole-file gzip: a record is one value, the record separator is the sink's line separator, so
+that commit, retry and any Hadoop file system come with the sink and no executor needs a folder of its own (one gzip member a record,
+which would let readers seek, is beyond that sink). An archive holds as many records as fit its size at their mean length, however
+large the partition is that it is written from. Archives are read as binary files; a response's payload must match its digest.
 """
 
 from __future__ import annotations
@@ -28,9 +30,10 @@ CRLF = "\r\n"
 
 @dataclass(frozen=True)
 class Archive:
-    """``min_revisit_bytes``: smaller payloads are never revisits."""
+    """``min_revisit_bytes``: smaller payloads are never revisits; ``archive_bytes``: payload of an archive, about."""
 
     min_revisit_bytes: int = 0
+    archive_bytes: int = 64 << 20
     date: str = "2024-01-01T00:00:00Z"
 
 
@@ -91,7 +94,9 @@ def write_archives(pages: DataFrame, path: str, how: Archive = Archive()) -> Non
         line("Content-Length", F.octet_length(block).cast("string")),
     ]
     record = F.concat(F.lit(f"WARC/1.0{CRLF}"), *fields, F.lit(CRLF), block)
-    dealt.select(record.alias("value")).write.option("compression", "gzip").option("lineSep", CRLF * 2).text(path)
+    mean = pages.agg(F.avg(F.octet_length(body))).collect()[0][0] or 0.0
+    most = max(1, int(how.archive_bytes / (mean + 1024)))
+    dealt.select(record.alias("value")).write.option("compression", "gzip").option("lineSep", CRLF * 2).option("maxRecordsPerFile", most).text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

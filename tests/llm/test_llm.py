@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gristmill.llm import decontaminate, language_id, near_dup, packing, quality_classifier, quality_rules, quotation, substring_dedup, toxicity, warc
+from gristmill.llm import _shared, decontaminate, language_id, near_dup, packing, quality_classifier, quality_rules, quotation, substring_dedup, toxicity, warc
 from gristmill.llm._components import connected_components
 from gristmill.llm._shared import fold
 
@@ -37,6 +37,14 @@ def empty(spark):
     return awkward(spark).limit(0)
 
 
+def test_samples_are_bounded_at_any_size(spark):
+    for n in (10, 3_000, 3_000_000_000, 10**15):
+        limit = _shared.hash_limit(3_000, n)
+        assert abs((limit + 2**63) / 2**64 * n - min(n, 3_000)) < 1 and -(2**63) < limit < 2**63
+    kept = _shared.bounded_share(spark.range(20_000), F.col("id"), 1_000).count()
+    assert 850 < kept < 1_150
+
+
 def test_components_of_chains_stars_and_loops(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(100, i) for i in range(101, 140)]
@@ -123,7 +131,8 @@ def test_substring_dedup_cuts_a_passage_anywhere_in_a_line(spark):
     assert 45 <= got[2].removed_words <= 63 and prose(3, 30) in got[2].text and prose(4, 30) in got[2].text
     assert got[4].text.count(prose(6, 12)) == 1
     for i in (2, 4):
-        assert all(text[i][s.start : s.end] not in got[i].text or i == 4 for s in got[i].spans) and len(got[i].spans) == 1
+        (span,) = got[i].spans
+        assert text[i][: span.start] + text[i][span.end :] == got[i].text
 
 
 def test_substring_dedup_cuts_short_lines_and_passages_of_them(spark):
@@ -148,8 +157,38 @@ def test_windows_around_short_lines_cover_any_passage():
         if len(" ".join(own).split()) < 10:
             continue
         inside = "\n".join(own)
-        owned = {p[2]: False for p in substring_dedup.passages(f"{prose(1, 11)}\n{inside}\n{prose(2, 11)}", 10)[1]}
-        assert substring_dedup.cut(f"{prose(3, 2)}\n{inside}\n{prose(4, 2)}", owned, 10)[0] == f"{prose(3, 2)}\n{prose(4, 2)}"
+        owned = {p[2]: False for p in substring_dedup.passages(f"{prose(1, 11)}\n{inside}\n{prose(2, 11)}", substring_dedup.Limits())[1]}
+        assert substring_dedup.cut(f"{prose(3, 2)}\n{inside}\n{prose(4, 2)}", owned, substring_dedup.Limits())[0] == f"{prose(3, 2)}\n{prose(4, 2)}"
+
+
+@pytest.mark.parametrize("limits", [substring_dedup.Limits(), substring_dedup.Limits(1, 1)])
+def test_substring_dedup_equals_brute_force(spark, limits):
+    """Random lines out of a small pool: each stays in the first document that has it, once. With no least length, sentences too."""
+    r = random.Random(17)
+    exact = limits.unit_words == 1
+    pool = [prose(500 + i, r.randint(1, 12) if exact else r.randint(4, 12)) for i in range(60)]
+    if exact:
+        pool = [f"{a.capitalize()}. {b}!" if r.random() < 0.4 else a for a, b in zip(pool, pool[1:] + pool[:1], strict=True)]
+    rows = [(i, r.choice(["", "\n"]) + "".join(r.choice(pool).upper() + r.choice(["\n", "\n\n", " \n"]) if r.random() < 0.2 else r.choice(pool) + "\n" for _ in range(r.randint(1, 6)))) for i in range(50)]
+    seen, expected = set(), {}
+    for i, text in rows:
+        kept, at = [], 0
+        for m in re.finditer(r"[.!?]+[ \t]+|\s*\n\s*|$", text):
+            unit = text[at : m.start()] + m.group().rstrip()
+            key = " ".join(unit.lower().split())
+            if key not in seen or not key:
+                kept.append(text[at : m.end()])
+            seen.add(key)
+            at = m.end()
+        expected[i] = "".join(kept)
+    got = {x.doc_id: x for x in substring_dedup.dedup_substrings(spark.createDataFrame(rows, DOCS), limits).collect()}
+    for i, text in rows:
+        rest, at = [], 0
+        for s in got[i].spans:
+            rest.append(text[at : s.start])
+            at = s.end
+        assert "".join([*rest, text[at:]]) == got[i].text
+        assert got[i].text.split() == expected[i].split(), (i, text, got[i].text, expected[i])
 
 
 def test_substring_dedup_of_awkward_rows(spark):
@@ -307,7 +346,9 @@ def test_isotonic_pools_violators():
 def test_quality_rules_base_counts_equal_brute_force(spark):
     rows = [(1, "a b c a b c x"), (2, "l one\n\nl one\nl two \n l two"), (3, "é ß # | x"), (4, None), (5, ""), (6, "\n\n"), (7, " ".join(["word"] * 60)), (8, prose(3, 80))]
     docs = spark.createDataFrame(rows, DOCS)
-    got = {x.doc_id: x for x in quality_rules.judge(docs, quality_rules.fit(docs)).collect()}
+    marks = spark.createDataFrame([(8, 1), (7, 0), (3, None), (None, 1)], "doc_id long, label int")
+    field = quality_rules.fit(docs, marks)
+    got = {x.doc_id: x for x in quality_rules.judge(docs, field).collect()}
     for i, t in rows:
         t = t or ""
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -319,8 +360,63 @@ def test_quality_rules_base_counts_equal_brute_force(spark):
         assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == expected
         assert x.base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w)) and not (x.base_failed and x.kept)
     assert got[8].kept
-    assert quality_rules.judge(awkward(spark), quality_rules.fit(awkward(spark))).count() == 8
-    assert quality_rules.judge(empty(spark), quality_rules.fit(empty(spark))).count() == 0
+    assert quality_rules.judge(awkward(spark), quality_rules.fit(awkward(spark), marks)).count() == 8
+    assert quality_rules.judge(empty(spark), quality_rules.fit(empty(spark), marks.limit(0))).count() == 0
+
+
+def mixed_lines(seed, kinds):
+    """Lines of prose, and junk lines whose signals are each too weak for a plain threshold: some signs, some capitals, some digits."""
+    r = random.Random(seed)
+    out = []
+    for junk in kinds:
+        words = [r.choice(WORDS) for _ in range(r.randint(9, 14))]
+        if junk:
+            words = [w.upper() if r.random() < 0.45 else w + r.choice("#%|") if r.random() < 0.25 else w + r.choice("!7") if r.random() < 0.4 else w for w in words]
+        out.append(" ".join(words))
+    return "\n".join(out)
+
+
+def thresholds(features):
+    """Plain rules on the same features, for comparison."""
+    f = dict(zip(quality_rules.FEATURES, features.T, strict=True))
+    return (f["symbols"] > 0.25) | (f["upper"] > 0.7) | (f["bangs"] > 0.5) | (f["echoes"] > 0.4) | (f["again"] > 0) | (f["notice"] > 0)
+
+
+def test_quality_verdict_equals_enumeration_and_beats_thresholds(spark):
+    r = random.Random(41)
+    rows = []
+    for i in range(160):
+        bad = i % 2 == 1
+        rows.append((i, mixed_lines(i, [r.random() < (0.8 if bad else 0.05) for _ in range(r.randint(8, 14))]), int(not bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    field = quality_rules.fit(docs, docs.where("doc_id < 100").select("doc_id", "label"))
+    got = {x.doc_id: x for x in quality_rules.judge(docs, field).collect()}
+    right = plain = 0
+    for i, text, label in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        _, _, words, features = quality_rules.measure(data, np.array([0, len(data)]))
+        scores = features @ field.emit
+        best, many = None, len(scores)
+        # Every labelling of up to 14 lines.
+        labelling = (np.arange(2**many)[:, None] >> np.arange(many)) & 1
+        value = scores[np.arange(many), labelling].sum(axis=1) + field.move[labelling[:, :-1], labelling[:, 1:]].sum(axis=1)
+        best = labelling[value.argmax()]
+        share = words[best == quality_rules.CONTENT].sum() / words.sum()
+        assert abs(share - got[i].content_share) < 1e-9 and got[i].kept == (not got[i].base_failed and share >= 0.5)
+        if i >= 100:
+            right += got[i].kept == (label == 1)
+            plain += (words[~thresholds(features)].sum() / words.sum() >= 0.5) == (label == 1)
+    assert right >= 0.95 * 60 and right - plain >= 10, (right, plain)
+
+
+def test_long_texts_teach_to_their_last_line(spark):
+    """The junk of the bad documents stands after hundreds of good lines."""
+    rows = [(i, mixed_lines(i, [False] * 420 + [i % 2 == 1] * 400), (i + 1) % 2) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    field = quality_rules.fit(docs, docs.select("doc_id", "label"), quality_rules.Rules(rounds=3))
+    junk = spark.createDataFrame([(1, mixed_lines(99, [True] * 40)), (2, mixed_lines(98, [False] * 40))], DOCS)
+    share = {x.doc_id: x.content_share for x in quality_rules.judge(junk, field).collect()}
+    assert share[1] < 0.5 < share[2]
 
 
 def test_viterbi_equals_enumeration():
@@ -343,6 +439,28 @@ def test_encoder_equals_the_tokenizer():
         assert encode(t) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
+def test_other_tokenizers_take_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(Tokenizer.from_file(TOKENIZER).to_str())
+    assert packing._by_words(spec)
+    spec["normalizer"] = {"type": "NFC"}
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    whole, encode = Tokenizer.from_file(str(tmp_path / "t.json")), packing.encoder(str(tmp_path / "t.json"))
+    for t in ["", "A b  C", "It's 12\n...!"]:
+        assert encode(t) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
+def test_packing_ranks_a_hot_length_in_many_lots(spark):
+    rows = [(None, "a b")] * 300 + [(7, prose(1, 30))] * 100
+    got = packing.pack(spark.createDataFrame(rows, DOCS), packing.Packing(TOKENIZER, capacity=64, lot=16)).toPandas()
+    assert len(got) >= 400
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert s.offset.tolist() == [0, *np.cumsum(s.length)[:-1]] and s.length.sum() <= 64
+
+
 def test_packing_is_gapless_and_near_the_bound(spark):
     rows = [(i, prose(i, random.Random(i).randint(0, 1500))) for i in range(120)] + [(500, None), (501, ""), (501, ""), (None, "x"), (502, prose(9, 6000))]
     how = packing.Packing(TOKENIZER)
@@ -399,6 +517,11 @@ def test_warc_round_trip(spark):
     assert by[(6, "response")].payload_bytes == 140_000 and sum(x.page_id == 7 and x.record_type == "response" for x in got) == 2
     assert warc.archive_round_trip(pages, warc.Archive(min_revisit_bytes=5)).where("record_type = 'revisit'").count() == 0
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
+    # Small archives hold the same records.
+    path = f"{_shared.shared_dir(spark)}/small-archives"
+    warc.write_archives(pages.coalesce(1), path, warc.Archive(archive_bytes=40_000))
+    assert spark.read.format("binaryFile").load(path).count() > 3
+    assert sorted(map(repr, warc.read_archives(spark, path).drop("payload").collect())) == sorted(map(repr, warc.archive_round_trip(pages).drop("payload").collect()))
 
 
 def test_warc_parser_takes_members_and_checks_lengths():
