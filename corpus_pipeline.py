@@ -37,7 +37,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = substring_dedup.clean_rows(docs).where("removed_words = 0 or trim(clean) <> ''")
+    cleaned = substring_dedup.clean_rows(docs).where((F.col("removed_words") == 0) | F.col("clean").rlike(r"[^\x20\x09-\x0D]"))
     text = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
     return cleaned.select(*[text[c].alias(c) if c in text else F.col("carried")[c].alias(c) for c in docs.columns])
 
