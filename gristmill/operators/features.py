@@ -82,6 +82,11 @@ def match_total(parts: dict[str, float]) -> Column:
     return out
 
 
+def conflict_gap(positive: Column, negative: Column) -> Column:
+    """How much nearer an item is to what the user likes than to what it avoids."""
+    return positive - negative
+
+
 def vector_similarities(rows: DataFrame, views: dict[str, tuple[str, str]]) -> DataFrame:
     """Cosine of each named pair of vector columns."""
     return rows.withColumns({name: dot(unit(F.col(a)), unit(F.col(b))) for name, (a, b) in views.items()})

@@ -46,6 +46,10 @@ class Layers:
     l3: int = 70
     l1_ranks: tuple[int, int, int] = (110, 65, 65)  # als, cluster, profile
     l2_ranks: tuple[int, int, int] = (260, 180, 180)
+    challenger: int = 0
+    lane: int = 0
+    lane_max_rank: int = 300
+    lane_max_pop: float = 60.0
 
 
 def by_segment(values: dict[str, float], default: float = 0.0) -> Column:
@@ -124,13 +128,35 @@ def head_score(fused: DataFrame, source_weight: float = 0.02, source_cap: int =
     return fused.withColumn("head_score", F.round(F.col("pre_score") + several + near("profile") + near("cluster") - only, 9))
 
 
-def challenger_score(fused: DataFrame, max_rank: int = 300, max_pop: float = 60.0) -> DataFrame:
+def _or_zero(fused: DataFrame, name: str) -> Column:
+    return F.coalesce(F.col(name).cast("double"), F.lit(0.0)) if name in fused.columns else F.lit(0.0)
+
+
+#: What each piece of personal evidence is worth in the challenger score; columns that a table lacks count 0.
+CHALLENGER = {
+    "profile_mv_evidence_score": 1.0, "semantic_effective_score": 0.16, "semantic_support_gate": 0.10, "tower_inv": 0.16, "seq_inv": 0.12,
+    "nonpopular_source_count": 0.04, "profile_mv_route_count": 0.03, "profile_cluster_source_count": 0.05, "item_pop_inv": 0.10, "item_pop_gate": -0.08, "has_popular": -0.04,
+}
+
+
+def challenger_score(fused: DataFrame, max_rank: int = 300, max_pop: float = 60.0, min_semantic: float = 0.0) -> DataFrame:
     """The score of items that personal evidence speaks for and popularity doesn't, and whether a row may challenge."""
     ok = (F.col("pre_rank") <= max_rank) & (F.col("item_train_pop_count") <= max_pop) & (F.col("nonpopular_source_count") >= 1) & (F.col("profile_cluster_source_count") >= 1) & (F.col("has_popular") < 0.5)
-    score = 0.32 * inverse_log_rank(F.col("profile_rank")) + 0.16 * inverse_log_rank(F.col("cluster_rank")) + 0.04 * F.col("nonpopular_source_count") + 0.05 * F.col("profile_cluster_source_count") + 0.10 * F.col("item_pop_inv") - 0.08 * F.col("item_pop_gate") - 0.04 * F.col("has_popular")
+    if "semantic_score" in fused.columns:
+        ok = ok & (F.col("semantic_score") >= min_semantic)
+    score = 0.32 * inverse_log_rank(F.col("profile_rank")) + 0.16 * inverse_log_rank(F.col("cluster_rank"))
+    for name, weight in CHALLENGER.items():
+        if name in fused.columns:
+            score = score + weight * _or_zero(fused, name)
     return fused.withColumn("challenger_ok", ok).withColumn("challenger_score", F.when(ok, F.round(score, 9)).otherwise(0.0))
 
 
+def head_bonus(fused: DataFrame, bonus: float) -> DataFrame:
+    """Ranked again with what challengers get on top of their head score."""
+    seeded = fused.withColumnRenamed("head_score", "head_seed").withColumn("head_score", F.round(F.col("head_seed") + F.when(F.col("challenger_ok"), bonus).otherwise(0.0), 9)).drop("pre_rank")
+    return rank_candidates(seeded, F.desc("head_score"), F.desc("head_seed"), F.desc("pre_score"))
+
+
 def rank_candidates(fused: DataFrame, *order: Column, name: str = "pre_rank") -> DataFrame:
     return fused.withColumn(name, F.row_number().over(Window.partitionBy("user_id").orderBy(*order, F.asc("item_id"))))
 
@@ -143,19 +169,24 @@ def flat_cut(ranked: DataFrame, policy: FusionPolicy) -> DataFrame:
 def layered_cut(ranked: DataFrame, layers: Layers, policy: FusionPolicy) -> DataFrame:
     """The layered cut; ``pre_rank`` becomes the rank in the new order.
 
-    Tiers: rescue (agreed on by profile or cluster and another route), L1 and L2 (a route ranks it well), L3. Seeds are the front
+    Tiers: challengers (``challenger_score``, where the table has it), the profile lane (brought by several profile routes, not too
+    popular), rescue (agreed on by profile or cluster and another route), L1 and L2 (a route ranks it well), L3. Seeds are the front
     guard and each tier's quota; a tier's ranks are counted over all its rows, so front-guard rows use up quota. The rest fills up
     to the user's size, with the priority of L2 seeds; the safety rows of the factorisation stay beyond that size if they are in
     the pool. Every step is a window over the user, so the rows are shuffled once."""
     within = lambda limits: (F.col("als_rank") <= limits[0]) | (F.col("cluster_rank") <= limits[1]) | (F.col("profile_rank") <= limits[2])
     rescue = (F.col("pre_rank") > layers.front) & (F.col("pre_rank") <= layers.rescue_max_rank) & (F.col("nonpopular_source_count") >= 2) & (F.col("profile_cluster_source_count") >= 1)
-    tier = F.when(rescue, 2).when(F.coalesce(within(layers.l1_ranks), F.lit(False)), 3).when(F.coalesce(within(layers.l2_ranks), F.lit(False)), 4).otherwise(5)
+    beyond = F.col("pre_rank") > layers.front
+    challenger = beyond & F.col("challenger_ok") if layers.challenger and "challenger_ok" in ranked.columns else F.lit(False)
+    lane = beyond & (F.col("pre_rank") <= layers.lane_max_rank) & (_or_zero(ranked, "profile_mv_route_count") >= 1) & (F.col("item_train_pop_count") <= layers.lane_max_pop) & (F.col("profile_cluster_source_count") >= 1) & (F.col("has_popular") < 0.5) if layers.lane else F.lit(False)
+    tier = F.when(challenger, 0).when(lane, 1).when(rescue, 2).when(F.coalesce(within(layers.l1_ranks), F.lit(False)), 3).when(F.coalesce(within(layers.l2_ranks), F.lit(False)), 4).otherwise(5)
+    lane_score = _or_zero(ranked, "profile_mv_evidence_score") + inverse_log_rank(F.col("profile_rank")) + 0.1 * _or_zero(ranked, "profile_mv_route_count")
     rescue_score = inverse_log_rank(F.col("profile_rank")) + inverse_log_rank(F.col("cluster_rank")) + 0.75 * inverse_log_rank(F.col("als_rank")) + 0.03 * F.col("nonpopular_source_count") + 0.01 * F.col("source_count")
     user = Window.partitionBy("user_id")
-    rows = ranked.withColumn("tier", tier).withColumn("tier_score", F.when(F.col("tier") == 2, F.round(rescue_score, 9)).otherwise(0.0))
+    rows = ranked.withColumn("tier", tier).withColumn("tier_score", F.when(F.col("tier") == 0, _or_zero(ranked, "challenger_score")).when(F.col("tier") == 1, F.round(lane_score, 9)).when(F.col("tier") == 2, F.round(rescue_score, 9)).otherwise(0.0))
     rows = rows.withColumn("tier_rank", F.row_number().over(Window.partitionBy("user_id", "tier").orderBy(F.desc("tier_score"), "pre_rank", "item_id")))
     front = F.col("pre_rank") <= layers.front
-    quota = F.element_at(F.create_map(*[F.lit(x) for x in (2, layers.rescue, 3, layers.l1, 4, layers.l2, 5, layers.l3)]), F.col("tier"))
+    quota = F.element_at(F.create_map(*[F.lit(x) for x in (0, layers.challenger, 1, layers.lane, 2, layers.rescue, 3, layers.l1, 4, layers.l2, 5, layers.l3)]), F.col("tier"))
     rows = rows.withColumn("seed", front | (F.col("tier_rank") <= quota)).withColumn("size", by_segment(policy.keep, 150).cast("int"))
     rows = rows.withColumn("seeds", F.sum(F.col("seed").cast("int")).over(user)).withColumn("rest_rank", F.row_number().over(Window.partitionBy("user_id", "seed").orderBy("pre_rank", "item_id")))
     pool = rows.where(F.col("seed") | (F.col("rest_rank") <= F.greatest(F.col("size") - F.col("seeds"), F.lit(0))))

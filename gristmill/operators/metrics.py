@@ -52,12 +52,14 @@ def pool_sizes(truth: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def route_attribution(truth: DataFrame, routes: DataFrame) -> DataFrame:
-    """Per route: share of users whose true item it has at all, and it alone; the mean number of routes that have it is ``overlap``."""
+    """Per route: share of users whose true item it has at all, and it alone; the mean number of routes that have it is ``overlap``,
+    the share of users whose item no route has ``zero_hit``."""
     found = truth.join(routes.select("user_id", "item_id", "source").distinct(), ["user_id", "item_id"])
     with_n = found.withColumn("n_routes", F.count(F.lit(1)).over(Window.partitionBy("user_id", "item_id")))
     total = truth.agg(F.count(F.lit(1)).alias("n_users"))
     out = with_n.groupBy("source").agg(F.count(F.lit(1)).alias("hits"), F.sum((F.col("n_routes") == 1).cast("long")).alias("unique_hits"), F.avg("n_routes").alias("overlap"))
-    return out.crossJoin(F.broadcast(total)).select("source", F.round(F.col("hits") / F.col("n_users"), 6).alias("any_hit"), F.round(F.col("unique_hits") / F.col("n_users"), 6).alias("unique_hit"), F.round("overlap", 6).alias("overlap"))
+    missed = truth.join(found, ["user_id", "item_id"], "left_anti").agg(F.count(F.lit(1)).alias("missed"))
+    return out.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(missed)).select("source", F.round(F.col("missed") / F.col("n_users"), 6).alias("zero_hit"), F.round(F.col("hits") / F.col("n_users"), 6).alias("any_hit"), F.round(F.col("unique_hits") / F.col("n_users"), 6).alias("unique_hit"), F.round("overlap", 6).alias("overlap"))
 
 
 def list_change(before: DataFrame, after: DataFrame, k: int) -> DataFrame:
@@ -69,6 +71,15 @@ def list_change(before: DataFrame, after: DataFrame, k: int) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("n_users"), F.round(F.avg(jaccard), 6).alias("mean_jaccard"), F.round(F.avg((F.col("a1") != F.col("b1")).cast("double")), 6).alias("first_changed"))
 
 
+def swap_rate(rows: DataFrame, before: str, after: str, k: int) -> DataFrame:
+    """Of the first k places of either order, the share whose item the other has elsewhere or not at all; and the share of users
+    whose positive is in the pool (what a perfect order could reach) and of those whose positive is in the first k before and after."""
+    top = rows.where((F.col(before) <= k) | (F.col(after) <= k))
+    swaps = top.agg(F.avg((F.col(before) != F.col(after)).cast("double")).alias("s"))
+    user = rows.groupBy("user_id").agg(F.max("label").alias("reach"), F.max(F.when(F.col(before) <= k, F.col("label")).otherwise(0)).alias("b"), F.max(F.when(F.col(after) <= k, F.col("label")).otherwise(0)).alias("a"))
+    return user.agg(*[F.round(F.avg(c), 6).alias(n) for c, n in (("reach", "oracle_recall"), ("b", "recall_before"), ("a", "recall_after"))]).crossJoin(F.broadcast(swaps)).select(F.round("s", 6).alias("swap_rate"), "oracle_recall", "recall_before", "recall_after")
+
+
 def improved_degraded(hits_before: DataFrame, hits_after: DataFrame) -> DataFrame:
     both = hits_before.select("user_id", F.col("hit_rank").alias("b")).join(hits_after.select("user_id", F.col("hit_rank").alias("a")), "user_id")
     far = 1_000_000

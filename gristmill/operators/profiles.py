@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 
 def sequence_view(events: DataFrame, k: int) -> DataFrame:
-    """Per user, over its k latest events: counts by type, different items, days spanned, repeat ratio, dominant type."""
+    """Per user, over its k latest events: their number, counts by type (most frequent first), different items, days spanned, repeat ratio,
+    dominant type (of equals the one that sorts first). ``events``: user_id, event_id, ts, item, event_type."""
     nth = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
     recent = events.withColumn("nth", nth).where(F.col("nth") <= k)
+    kinds = recent.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("minus"), "event_type")))
+    kinds = kinds.groupBy("user_id").agg(pairs.alias("p")).select("user_id", F.col("p")[0]["event_type"].alias("dominant_type"), F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["event_type"], (-x["minus"]).cast("string"))), ",").alias("type_counts"))
     return recent.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n_events"), F.countDistinct("item").alias("n_items"), F.datediff(F.max("ts"), F.min("ts")).cast("long").alias("span_days"),
         F.round(1 - F.countDistinct("item") / F.count(F.lit(1)), 6).alias("repeat_ratio"),
-    )
+    ).join(kinds, "user_id")
 
 
 def dominant_label(rows: DataFrame, key: str, label: str) -> DataFrame:

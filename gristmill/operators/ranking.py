@@ -60,6 +60,18 @@ def blend(rows: DataFrame, prior: str, model: str, alpha: float, factor: Column
     return rows.withColumn("blend_rank", F.row_number().over(Window.partitionBy("user_id").orderBy((F.col("pre_rank") > top).cast("int"), F.when(F.col("pre_rank") <= top, -F.col("blend_score")).otherwise(0.0), "pre_rank", "item_id")))
 
 
+def blend_guard(rows: DataFrame, model: str, least_std: float = 0.015, least_spread: float = 0.06, least_unique: int = 20) -> DataFrame:
+    """``guarded`` for all rows if the model's scores hardly differ (deviation, 5 % to 95 % spread, or different values at 6 places):
+    then ``model_signal`` is the scores' rank in the user's list, 1 for the best, instead of the scores."""
+    about = rows.agg(F.stddev_pop(model).alias("std"), (F.percentile(model, F.lit(0.95)) - F.percentile(model, F.lit(0.05))).alias("spread"), F.countDistinct(F.round(model, 6)).alias("different"))
+    guard = about.select(((F.col("std") < least_std) | (F.col("spread") < least_spread) | (F.col("different") < least_unique)).alias("guarded"))
+    user = Window.partitionBy("user_id")
+    n = F.count(F.lit(1)).over(user)
+    place = F.row_number().over(user.orderBy(F.desc(model), "item_id"))
+    by_rank = F.when(n <= 1, 1.0).otherwise(1 - (place - 1) / (n - 1))
+    return rows.crossJoin(F.broadcast(guard)).withColumn("model_signal", F.when(F.col("guarded"), by_rank).otherwise(F.col(model)))
+
+
 def alpha_grid(rows: DataFrame, alphas: list[float], k: int) -> DataFrame:
     """alpha, recall_at_k, ndcg_at_k, best first: NDCG, then recall, then the smaller alpha. ``rows``: prior, model (0..1), label."""
     grid = rows.crossJoin(F.broadcast(rows.sparkSession.createDataFrame([(float(a),) for a in alphas], "alpha double")))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,27 +85,25 @@ def spam_score(text: Column) -> Column:
     return F.least(0.4 * (1 - alpha) + 0.3 * shout + 0.5 * cue, F.lit(1.0))
 
 
-def _diverse(most: int, limit: float):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "id"], ascending=[False, True])
-        kept, sets = [], []
-        for i, words in zip(rows.index, rows["words"], strict=True):
-            own = set(words)
-            if len(kept) < most and all(len(own & s) <= limit * max(1, len(own | s)) for s in sets):
-                kept.append(i)
-                sets.append(own)
-        return rows.loc[kept].drop(columns=["words"])
+def _overlap(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two word sets; 0 for two empty ones."""
+    return F.size(F.array_intersect(a, b)).cast("double") / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
 
-    return run
 
+def diverse_subset(rows: DataFrame, group: str, most: int, limit: float) -> DataFrame:
+    """Greedily by score, texts whose word sets are not too like (Jaccard above ``limit``) those taken before. ``rows``: group, id,
+    score, words.
 
-def diverse_subset(rows: DataFrame, group: str, most: int, limit: float, pool: int = 200) -> DataFrame:
-    """Greedily by score, texts whose word sets are not too like (Jaccard above ``limit``) those taken before. Greedy choice has no
-    relational form, so it runs in Python per group, on each group's ``pool`` best only. ``rows``: group, id, score, words."""
-    nth = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), "id"))
-    best = rows.withColumn("nth", nth).where(F.col("nth") <= pool).select(group, "id", "score", "words")
-    kinds = dict(best.dtypes)
-    return best.groupBy(group).applyInPandas(_diverse(most, limit), f"{group} {kinds[group]}, id {kinds['id']}, score double")
+    Each round is one aggregation: of every group's rows that are unlike what is taken so far, the best one. No group is gathered,
+    no row is left out of account; a row carries ``most`` word sets at most through its task."""
+    rows = rows.select(group, "id", F.col("score").cast("double").alias("score"), F.array_distinct("words").alias("words"))
+    row, order = F.struct("id", "score", "words"), F.struct((-F.col("score")).alias("s"), "id")
+    taken = rows.groupBy(group).agg(F.array(F.min_by(row, order)).alias("taken"))
+    for _ in range(most - 1):
+        like = F.exists("taken", lambda x: (x["id"] == F.col("id")) | (_overlap(F.col("words"), x["words"]) > limit))
+        found = rows.join(taken, group).groupBy(group).agg(F.first("taken").alias("taken"), F.min_by(row, F.when(~like, order)).alias("best"))
+        taken = found.select(group, F.when(F.col("best").isNull(), F.col("taken")).otherwise(F.concat("taken", F.array("best"))).alias("taken"))
+    return taken.select(group, F.explode("taken").alias("x")).select(group, "x.id", "x.score")
 
 
 def rule_labels(text: Column, rules: dict[str, str]) -> Column:
@@ -116,6 +111,54 @@ def rule_labels(text: Column, rules: dict[str, str]) -> Column:
     return F.sort_array(F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in rules.items()])))
 
 
+def relabel(rows: DataFrame, key: str, text: str, rules: dict[str, dict[str, float]], parents: dict[str, str], conflicts: list[tuple[str, str]], least: float) -> DataFrame:
+    """A second- and first-level label by weighted term patterns: ``rules``: label -> {pattern: weight}; ``parents``: label -> its
+    first-level one; ``conflicts``: (winner, loser) pairs, of which the loser's score counts nothing where both have one.
+
+    The best score of at least ``least`` wins, equal ones in the rules' order; without one, both labels are "other"."""
+    score = {}
+    for label, patterns in rules.items():
+        total = F.lit(0.0)
+        for pattern, weight in patterns.items():
+            total = total + F.when(F.lower(F.col(text)).rlike(pattern), F.lit(float(weight))).otherwise(0.0)
+        score[label] = total
+    settled = dict(score)
+    for winner, loser in conflicts:
+        settled[loser] = F.when(score[winner] > 0, F.lit(0.0)).otherwise(settled[loser])
+    cells = F.array(*[F.struct((-c).alias("minus"), F.lit(i).alias("at"), F.lit(n).alias("label")) for i, (n, c) in enumerate(settled.items())])
+    best = rows.select(key, F.array_min(cells).alias("b"))
+    label = F.when(F.col("b.minus") <= -least, F.col("b.label")).otherwise("other")
+    first = F.coalesce(*[F.when(F.col("label") == n, F.lit(p)) for n, p in parents.items()], F.lit("other"))
+    return best.select(key, label.alias("label"), F.round(-F.col("b.minus"), 6).alias("score")).withColumn("first_level", first)
+
+
+def item_snippets(pairs: DataFrame, reviews: DataFrame, words: dict[str, float], top: int, chars: int = 120) -> DataFrame:
+    """For each (user, item), the ``top`` best snippets of the item's reviews from before the user's cutoff, joined into one text.
+    ``pairs``: user_id, item_id, cutoff; ``reviews``: item_id, ts, text. Equal snippets count once."""
+    short = F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, chars)
+    seen = pairs.join(reviews.withColumn("snippet", short).where(F.col("snippet") != ""), "item_id").where(F.col("ts") < F.col("cutoff"))
+    score = F.round(10 * keyword_score(F.col("snippet"), words) + F.when(F.length("snippet") >= 80, 1.0).otherwise(0.0), 6)
+    once = seen.groupBy("user_id", "item_id", "snippet").agg(F.max("ts").alias("ts")).withColumn("score", score)
+    nth = F.row_number().over(Window.partitionBy("user_id", "item_id").orderBy(F.desc("score"), F.desc("ts"), "snippet"))
+    best = once.withColumn("nth", nth).where(F.col("nth") <= top)
+    return best.groupBy("user_id", "item_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "snippet"))), lambda x: x["snippet"]), " || ").alias("evidence"), F.count(F.lit(1)).alias("n_snippets"))
+
+
+def bounded_material(rows: DataFrame, key: str, latest: int, useful: int) -> DataFrame:
+    """Each key's latest and most voted-for rows, once each. ``rows``: key, id, ts, votes."""
+    own = Window.partitionBy(key)
+    marked = rows.withColumns({"by_time": F.row_number().over(own.orderBy(F.desc("ts"), "id")), "by_votes": F.row_number().over(own.orderBy(F.desc("votes"), F.desc("ts"), "id"))})
+    return marked.where((F.col("by_time") <= latest) | (F.col("by_votes") <= useful))
+
+
+def best_anchors(history: DataFrame, groups: DataFrame, group: str, k: int) -> DataFrame:
+    """Each user's best event of each group of items, then its k best: by rating, then the nearest to the test event, then the item."""
+    order = [F.desc("hist_rating"), F.asc("days_to_test"), F.asc("item_id")]
+    rows = history.join(groups, "item_id")
+    firsts = rows.withColumn("g", F.row_number().over(Window.partitionBy("user_id", group).orderBy(*order))).where("g = 1")
+    return firsts.withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy(*order))).where(F.col("nth") <= k)
+
+
 def keyword_score(text: Column, words: dict[str, float]) -> Column:
     out = F.lit(0.0)
     for word, weight in words.items():

@@ -77,19 +77,19 @@ def g6_diverse_subset(b):
 
 query(None)(g6_diverse_subset)
 cte(
-    evidence_rows="SELECT l_partkey AS part_id, l_orderkey * 10 + l_linenumber AS id, l_shipdate AS ts, CASE WHEN l_returnflag = 'R' AND l_quantity > 25 THEN 'mixed' WHEN l_quantity <= 10 THEN 'negative' WHEN l_quantity >= 35 AND l_returnflag <> 'R' THEN 'positive' ELSE 'mixed' END AS bucket, round(0.5 * least(l_quantity / 400.0, 1.0) + 0.3 * least(ln(1 + l_tax) / ln(21.0), 1.0) + 0.2 * exp(-date_diff('day', CAST(l_shipdate AS DATE), DATE '2002-01-01') / 365.0), 9) AS score, l_suppkey FROM lineitem",
-    evidence_seeds="SELECT *, (row_number() OVER (PARTITION BY part_id, bucket ORDER BY score DESC, ts DESC NULLS LAST, id, l_suppkey) <= CASE bucket WHEN 'positive' THEN 2 WHEN 'negative' THEN 2 ELSE 1 END)::INT AS seed FROM evidence_rows",
+    evidence_rows="SELECT l_partkey AS part_id, (l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey AS id, l_shipdate AS ts, CASE WHEN l_returnflag = 'R' AND l_quantity > 25 THEN 'mixed' WHEN l_quantity <= 10 THEN 'negative' WHEN l_quantity >= 35 AND l_returnflag <> 'R' THEN 'positive' ELSE 'mixed' END AS bucket, round(0.5 * least(l_quantity / 400.0, 1.0) + 0.3 * least(ln(1 + l_tax) / ln(21.0), 1.0) + 0.2 * exp(-date_diff('day', CAST(l_shipdate AS DATE), DATE '2002-01-01') / 365.0), 9) AS score, l_suppkey FROM lineitem",
+    evidence_seeds="SELECT *, (row_number() OVER (PARTITION BY part_id, bucket ORDER BY score DESC, ts DESC NULLS LAST, id) <= CASE bucket WHEN 'positive' THEN 2 WHEN 'negative' THEN 2 ELSE 1 END)::INT AS seed FROM evidence_rows",
 )
 
 
-@query("SELECT part_id, bucket, count(*) AS n, round(sum(score), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY seed DESC, score DESC, ts DESC NULLS LAST, id) AS place FROM evidence_seeds QUALIFY place <= 8) GROUP BY part_id, bucket")
+@query("SELECT part_id, id, bucket, row_number() OVER (PARTITION BY part_id ORDER BY seed DESC, score DESC, ts DESC NULLS LAST, id) AS place FROM evidence_seeds QUALIFY place <= 8")
 def g7_select_evidence(b):
     li = b.t("lineitem")
     bad, good = (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 25), F.col("l_quantity") > 25
     bucket = text.rating_bucket(F.when(F.col("l_quantity") <= 10, 1).when(F.col("l_quantity") >= 35, 5).otherwise(3), good, (F.col("l_returnflag") == "R"))
     days = F.datediff(F.lit("2002-01-01").cast("date"), "l_shipdate")
-    rows = li.select(F.col("l_partkey").alias("part_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_shipdate").alias("ts"), F.when(bad, "mixed").otherwise(bucket).alias("bucket"), F.round(text.evidence_score(F.col("l_quantity"), F.col("l_tax"), days), 9).alias("score"))
-    return text.select_evidence(rows, "part_id", {"positive": 2, "negative": 2, "mixed": 1}, 8).groupBy("part_id", "bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 4).alias("score"))
+    rows = li.select(F.col("l_partkey").alias("part_id"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_suppkey")).alias("id"), F.col("l_shipdate").alias("ts"), F.when(bad, "mixed").otherwise(bucket).alias("bucket"), F.round(text.evidence_score(F.col("l_quantity"), F.col("l_tax"), days), 9).alias("score"))
+    return text.select_evidence(rows, "part_id", {"positive": 2, "negative": 2, "mixed": 1}, 8).select("part_id", "id", "bucket", F.col("place").cast("long").alias("place"))
 
 
 @query("SELECT source, doc_id, nth FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY round(least(n_chars / 400.0, 1.0), 6) DESC, doc_id) AS nth FROM documents) WHERE nth <= 3")
@@ -141,7 +141,7 @@ def g15_stratified_sample(b):
 cte(recent_events="SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events QUALIFY nth <= 20")
 
 
-@query("SELECT user_id, count(*) AS n_events, count(DISTINCT event_type) AS n_items, date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) AS span_days, round(1 - count(DISTINCT event_type) / CAST(count(*) AS DOUBLE), 6) AS repeat_ratio FROM recent_events GROUP BY user_id")
+@query("SELECT user_id, count(*) AS n_events, count(DISTINCT event_type) AS n_items, date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) AS span_days, round(1 - count(DISTINCT event_type) / CAST(count(*) AS DOUBLE), 6) AS repeat_ratio, max(dominant_type) AS dominant_type, max(type_counts) AS type_counts FROM recent_events JOIN (SELECT user_id, first(event_type ORDER BY n DESC, event_type) AS dominant_type, string_agg(event_type || ':' || n, ',' ORDER BY n DESC, event_type) AS type_counts FROM (SELECT user_id, event_type, count(*) AS n FROM recent_events GROUP BY user_id, event_type) GROUP BY user_id) USING (user_id) GROUP BY user_id")
 def k1_sequence_view(b):
     return profiles.sequence_view(b.t("events").withColumn("item", F.col("event_type")), 20)
 
@@ -183,11 +183,8 @@ def k15_item_strength(b):
 
 @query("SELECT p_brand, p_type, count(*) AS n, count(DISTINCT p_size) AS sizes, round(count(*) / CAST((SELECT count(*) FROM part) AS DOUBLE), 6) AS share FROM part GROUP BY p_brand, p_type")
 def k16_alignment_audit(b):
-    from pyspark.sql import Window
-
     p = b.t("part")
     out_ = p.groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p_size").alias("sizes")).crossJoin(F.broadcast(p.agg(F.count(F.lit(1)).alias("total"))))
-    _ = Window
     return out_.select("p_brand", "p_type", "n", "sizes", F.round(F.col("n") / F.col("total"), 6).alias("share"))
 
 

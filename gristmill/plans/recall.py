@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gristmill.functions.scalars import pre_rank_band
-from gristmill.operators import baselines, features, fusion, metrics, routes, split
+from gristmill.operators import baselines, fusion, metrics, routes, split
 from gristmill.plans.registry import query
 from gristmill.plans.sql import CTES, ILR, NUDGE, SETTLED, cte
 
@@ -253,6 +253,24 @@ def c8_challenger(b):
     return scored.where("challenger_ok").select("user_id", "item_id", "challenger_score")
 
 
+BONUS = 0.015
+cte(
+    challenger_rows=f"SELECT *, (pre_rank <= 300 AND item_train_pop_count <= 60 AND nonpopular_source_count >= 1 AND profile_cluster_source_count >= 1 AND has_popular < 0.5) AS challenger_ok, round(0.32 * {ILR('profile_rank')} + 0.16 * {ILR('cluster_rank')} + 0.04 * nonpopular_source_count + 0.05 * profile_cluster_source_count + 0.10 * ln(2.0) / ln(item_train_pop_count + 2.0) - 0.08 * least(ln(item_train_pop_count + 1.0) / ln(201.0), 1.0) - 0.04 * has_popular, 9) AS raw_challenger FROM ranked_rows",
+    bonus_rows=f"SELECT * EXCLUDE (pre_rank, head_score), round(head_score + CASE WHEN challenger_ok THEN {BONUS} ELSE 0 END, 9) AS head_score, head_score AS head_seed, CASE WHEN challenger_ok THEN raw_challenger ELSE 0 END AS challenger_score FROM challenger_rows",
+    bonus_ranks="SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY head_score DESC, head_seed DESC, pre_score DESC, item_id) AS pre_rank FROM bonus_rows",
+)
+
+
+def challenged(b):
+    scored = fusion.challenger_score(fusion.debias(b.ranked.withColumn("semantic_support", F.lit(0.0))))
+    return fusion.head_bonus(scored, BONUS)
+
+
+@query("SELECT user_id, item_id, pre_rank, head_score FROM bonus_ranks")
+def c8_head_bonus(b):
+    return out(challenged(b).select("user_id", "item_id", "pre_rank", "head_score"))
+
+
 LAYERS = fusion.Layers(front=20, rescue=5, rescue_max_rank=60, l1=15, l2=12, l3=6, l1_ranks=(10, 12, 12), l2_ranks=(40, 40, 40))
 POLICY = fusion.FusionPolicy(keep={"light": 40, "mid": 50, "heavy": 60})
 cte(
@@ -265,6 +283,22 @@ cte(
 )
 
 
+FULL_LAYERS = fusion.Layers(front=20, challenger=6, lane=0, rescue=5, rescue_max_rank=60, l1=15, l2=12, l3=6, l1_ranks=(10, 12, 12), l2_ranks=(40, 40, 40))
+cte(
+    full_tiered=f"SELECT *, CASE WHEN pre_rank > 20 AND challenger_ok THEN 0 WHEN pre_rank > 20 AND pre_rank <= 60 AND nonpopular_source_count >= 2 AND profile_cluster_source_count >= 1 THEN 2 WHEN cluster_rank <= 12 OR profile_rank <= 12 THEN 3 WHEN cluster_rank <= 40 OR profile_rank <= 40 THEN 4 ELSE 5 END AS tier, round({ILR('profile_rank')} + {ILR('cluster_rank')} + 0.03 * nonpopular_source_count + 0.01 * source_count, 9) AS rescue_score, CASE user_segment WHEN 'light' THEN 40 WHEN 'mid' THEN 50 ELSE 60 END AS size FROM bonus_ranks",
+    full_ranks="SELECT *, row_number() OVER (PARTITION BY user_id, tier ORDER BY CASE tier WHEN 0 THEN challenger_score WHEN 2 THEN rescue_score ELSE 0 END DESC, pre_rank, item_id) AS tier_rank FROM full_tiered",
+    full_seeds="SELECT *, (pre_rank <= 20 OR tier_rank <= CASE tier WHEN 0 THEN 6 WHEN 2 THEN 5 WHEN 3 THEN 15 WHEN 4 THEN 12 ELSE 6 END) AS seed FROM full_ranks",
+    full_rest="SELECT *, count(*) FILTER (WHERE seed) OVER (PARTITION BY user_id) AS seeds, row_number() OVER (PARTITION BY user_id, seed ORDER BY pre_rank, item_id) AS rest_rank FROM full_seeds",
+    full_pool="SELECT *, CASE WHEN NOT seed THEN 5 WHEN pre_rank <= 20 THEN 0 ELSE tier + 1 END AS priority, CASE WHEN NOT seed THEN rest_rank WHEN pre_rank <= 20 THEN pre_rank ELSE tier_rank END AS place FROM full_rest WHERE seed OR rest_rank <= greatest(size - seeds, 0)",
+    full_layered="SELECT user_id, item_id, size, row_number() OVER (PARTITION BY user_id ORDER BY priority, place, pre_rank, item_id) AS layered_rank FROM full_pool",
+)
+
+
+@query("SELECT user_id, item_id, layered_rank AS pre_rank FROM full_layered WHERE layered_rank <= size")
+def c9_layered_with_challengers(b):
+    return out(fusion.layered_cut(challenged(b), FULL_LAYERS, POLICY).select("user_id", "item_id", "pre_rank"))
+
+
 @query("SELECT user_id, item_id, layered_rank AS pre_rank FROM layered_rows WHERE layered_rank <= size")
 def c9_layered_pretrim(b):
     return out(fusion.layered_cut(b.ranked, LAYERS, POLICY).select("user_id", "item_id", "pre_rank"))
@@ -326,7 +360,7 @@ cte(
 )
 
 
-@query("SELECT source, round(count(*) / CAST((SELECT count(*) FROM truth_items) AS DOUBLE), 6) AS any_hit, round(sum((n_routes = 1)::INT) / CAST((SELECT count(*) FROM truth_items) AS DOUBLE), 6) AS unique_hit, round(avg(n_routes), 6) AS overlap FROM route_hit_counts GROUP BY source")
+@query("SELECT source, round(1 - (SELECT count(DISTINCT user_id) FROM route_hits) / CAST((SELECT count(*) FROM truth_items) AS DOUBLE), 6) AS zero_hit, round(count(*) / CAST((SELECT count(*) FROM truth_items) AS DOUBLE), 6) AS any_hit, round(sum((n_routes = 1)::INT) / CAST((SELECT count(*) FROM truth_items) AS DOUBLE), 6) AS unique_hit, round(avg(n_routes), 6) AS overlap FROM route_hit_counts GROUP BY source")
 def d4_route_attribution(b):
     return metrics.route_attribution(b.truth, b.candidates)
 
@@ -387,4 +421,3 @@ def j3_als_grid(b):
 
 
 query(None)(j3_als_grid)
-_ = features

@@ -105,7 +105,7 @@ GBT = ["log_pop", "best_route_inv", "pre_rank_inv", "source_count"]
 
 def e9_gbt_ranker(b):
     """Gradient-boosted trees over the sampled pool; no SQL can express the fit."""
-    rows = ranking.rank_features(small(b)).select("user_id", "item_id", "label", *GBT).persist()
+    rows = ranking.rank_features(small(b)).select("user_id", "item_id", "label", *GBT)
     scored = ranking.positive_probability(ranking.fit_gbt(rows, GBT, trees=5, depth=3).transform(rows), "learned_score")
     return scored.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("learned_score"), 6).alias("mean_score"))
 
@@ -115,7 +115,7 @@ query(None)(e9_gbt_ranker)
 
 def e10_platt(b):
     """A logistic fit of one score, and the calibrated bins."""
-    rows = small(b).select("user_id", "item_id", F.col("label").cast("double").alias("label"), "head_score").persist()
+    rows = small(b).select("user_id", "item_id", F.col("label").cast("double").alias("label"), "head_score")
     scored = ranking.positive_probability(ranking.fit_logistic(rows, ["head_score"]).transform(rows), "score")
     return metrics.calibration_bins(scored)
 
@@ -367,7 +367,7 @@ def h12_topk_eval(b):
 
 def h13_stacking(b):
     """Logistic regression over the ranks of two scorers."""
-    rows = rescued(b).select("label", F.col("base_rank").cast("double").alias("r1"), F.col("final_rank").cast("double").alias("r2")).persist()
+    rows = rescued(b).select("label", F.col("base_rank").cast("double").alias("r1"), F.col("final_rank").cast("double").alias("r2"))
     scored = ranking.positive_probability(ranking.fit_logistic(rows, ["r1", "r2"]).transform(rows), "score")
     return metrics.calibration_bins(scored)
 
@@ -406,5 +406,3 @@ def i3_single_user(b):
 def i4_latency_summary(b):
     return serving.latency_summary(b.t("events"), "value", "event_type")
 
-
-_ = fusion
