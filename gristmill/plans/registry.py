@@ -26,7 +26,7 @@ def query(sql: str | None) -> Callable:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from gristmill.plans import corpus, recall, rerank  # noqa: F401
+    from gristmill.plans import corpus, recall, rerank, stages  # noqa: F401
 
 
 load()

@@ -67,3 +67,22 @@ def latest_run(spark: SparkSession, root: str, suffix: str) -> str | None:
     fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
     found = [s.getPath().getName() for s in fs.listStatus(base) if s.isDirectory() and s.getPath().getName().endswith(suffix)] if fs.exists(base) else []
     return f"{root}/{max(found)}" if found else None
+
+
+def write_pointer(spark: SparkSession, pointer: str, run: str) -> None:
+    """Name the run that readers are to use, as a one-row JSON folder."""
+    spark.createDataFrame([(run,)], "run string").coalesce(1).write.mode("overwrite").json(pointer)
+
+
+def pointed_run(spark: SparkSession, pointer: str) -> str | None:
+    """The run that a pointer names, null where it names none."""
+    rows = spark.read.schema("run string").json(pointer).limit(1).collect()
+    return rows[0]["run"] if rows else None
+
+
+def write_audit(rows: DataFrame, path: str, about: dict[str, str]) -> None:
+    """An audit's rows as Parquet under ``rows``, and what it is about, with their number, as JSON under ``meta``."""
+    rows.write.mode("overwrite").parquet(f"{path}/rows")
+    spark = rows.sparkSession
+    n = spark.read.parquet(f"{path}/rows").count()
+    spark.createDataFrame([(k, v) for k, v in {**about, "rows": str(n)}.items()], "name string, value string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
