@@ -561,24 +561,108 @@ def test_pairs_count_beyond_their_terms(spark):
     assert all((x.score >= 0.5) == (x.label == 1) for x in scored)
 
 
+MESSAGES = "conv_id long, turn long, role string, text string"
+
+
 def test_quotations_are_linked_in_reply_order(spark):
     rows = [
         (1, 0, "user", "Hello there friend\nHow are you?"), (1, 1, "assistant", "On Monday X wrote:\n> hello  there friend\nI am fine"),
-        (1, 2, "user", "> On Monday X wrote:\n>> Hello there friend\n> I am fine\nGreat"), (1, 3, "user", "> hello there friend\nLate answer"), (1, 4, "user", "> unknown\nhm"), (2, 0, "user", None), (None, 1, None, "> x"), (3, 0, None, ""),
+        (1, 2, "user", "> On Monday X wrote:\n>> Hello there friend\n> I am fine\nGreat"), (1, 3, "user", "> hello there friend\nLate answer"), (1, 4, "user", "> unknown\nhm"),
+        (2, 0, "user", None), (None, 1, None, "> x"), (3, 0, None, ""), (3, 0, None, ""), (3, None, "user", "z"),
     ]
-    messages = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, depth int")
-    got = {(x.conv_id, x.turn): x for x in quotation.link_quotations(messages).collect()}
-    assert len(got) == len(rows)
-    assert got[(1, 1)].path == [0, 1] and got[(1, 2)].path == [0, 1, 2] and got[(1, 3)].path == [0, 3] and got[(1, 4)].path == [4]
-    assert got[(1, 2)].text == "Great" and got[(1, 1)].text == "I am fine" and got[(1, 2)].quoted_lines == 3
-    assert [k[1] for k, x in sorted(((k, x) for k, x in got.items() if k[0] == 1), key=lambda p: p[1].path)] == [0, 1, 2, 3, 4]
-    assert quotation.link_quotations(messages.limit(0)).count() == 0
+    messages = spark.createDataFrame([(*r, 1) for r in rows], f"{MESSAGES}, depth int")
+    linked = quotation.link_quotations(messages)
+    got = {(x.conv_id, x.turn): x for x in linked.collect()}
+    assert linked.count() == len(rows)
+    parents = {0: None, 1: 0, 2: 1, 3: 0, 4: None}
+    assert {t: got[(1, t)].parent_turn for t in parents} == parents
+    assert [(got[(1, t)].root_turn, got[(1, t)].depth, got[(1, t)].position) for t in range(5)] == [(0, 0, 0), (0, 1, 1), (0, 2, 2), (0, 1, 3), (4, 0, 0)]
+    assert got[(1, 2)].text == "Great" and got[(1, 1)].text == "I am fine" and got[(1, 2)].quoted_lines == 3 and got[(1, 2)].linked_lines == 2
+    assert got[(None, 1)].position is None and got[(3, None)].position is None
+    texts = {(x.conv_id, x.root_turn, x.piece): (x.n_messages, x.text) for x in quotation.build_conversations(linked, 2).collect()}
+    assert texts[(1, 0, 0)] == (2, "<|user|>\nHello there friend\nHow are you?\n<|assistant|>\nI am fine\n") and texts[(1, 0, 1)][1] == "<|user|>\nGreat\n<|user|>\nLate answer\n"
+    assert texts[(3, 0, 0)] == (1, "<|user|>\n\n")
+    assert quotation.link_quotations(messages.limit(0)).count() == 0 and quotation.build_conversations(linked.limit(0)).count() == 0
+
+
+def test_common_lines_link_nothing_by_chance(spark):
+    rows = [
+        (1, 0, "user", "The budget is forty euros a month\nThanks"), (1, 1, "user", "Another matter for the week\nThanks"), (1, 2, "user", "> Thanks\nfor what?"),
+        (1, 3, "user", "> The budget is forty euros a month\n> Thanks\nToo much"), (1, 4, "user", "> Thanks\n> these other words are nobody's at all\nhm"), (2, 0, "user", "Thanks"), (2, 1, "user", "> Thanks\nwelcome"),
+    ]
+    got = {(x.conv_id, x.turn): x.parent_turn for x in quotation.link_quotations(spark.createDataFrame(rows, MESSAGES)).collect()}
+    assert got == {(1, 0): None, (1, 1): None, (1, 2): None, (1, 3): 0, (1, 4): None, (2, 0): None, (2, 1): 0}
+
+
+def links_brute(messages, how):
+    """(turn, level) -> quoted turn of one conversation's {turn: text}, message by message."""
+    def units(text):
+        out, run, last = [], [], None
+        for line in [*text.split("\n"), None]:
+            level = None if line is None else re.match(r"(?:[ \t]*>)*", line).group().count(">")
+            body = "" if line is None else " ".join(re.sub(r"^(?:[ \t]*>)+", "", line).split()).lower()
+            if run and (line is None or not body or level != last):
+                out += [(last, "line", x) for x in run] + ([(last, "passage", "\n".join(run))] if len(run) > 1 else [])
+                run = []
+            if body:
+                run.append(body)
+            last = level
+        return out
+
+    own = {t: {(k, b) for level, k, b in units(x) if level == 0} for t, x in messages.items()}
+    links = {}
+    for turn, text in messages.items():
+        for level in {u[0] for u in units(text)} - {0}:
+            votes, total = {}, 0
+            for _, kind, body in [u for u in units(text) if u[0] == level]:
+                words = len(body.split())
+                total += words if kind == "line" else 0
+                having = [t for t in messages if t < turn and (kind, body) in own[t]]
+                if having and (words >= how.sure_words or len(having) == 1):
+                    votes.setdefault(max(having), Counter())[kind] += words
+            if votes:
+                best = max(votes, key=lambda t: (votes[t]["line"] + 2 * votes[t]["passage"], t))
+                if max(votes[best].values()) >= how.share * total:
+                    links[(turn, level)] = best
+    return links
+
+
+def test_quotations_equal_brute_force(spark):
+    """Threads in which messages quote earlier ones, in whole or in part, over several levels, with stray and common lines."""
+    rows, texts = [], {}
+    for conv in range(12):
+        r, messages = random.Random(conv), {}
+        for turn in range(0, 3000, 100) if conv == 0 else range(14):
+            own = [prose(r.random(), r.randint(1, 7)) for _ in range(r.randint(1, 3))] + ["ok thanks"] * (r.random() < 0.3)
+            quoted = []
+            if messages and r.random() < 0.8:
+                source = messages[r.choice(list(messages))].split("\n")
+                kept = source if r.random() < 0.6 else [x for x in source if r.random() < 0.6]
+                quoted = [("> " if not x.startswith(">") else ">") + x.replace(" ", "  ", 1) for x in kept] + ["> " + prose(r.random(), 4)] * (r.random() < 0.2)
+            body = [*quoted, *([""] if r.random() < 0.3 else []), *own]
+            messages[turn] = "\n".join(body)
+            rows.append((conv, turn, "user", messages[turn]))
+        texts[conv] = messages
+    how = quotation.Links()
+    expected = {(c, t, level): q for c, m in texts.items() for (t, level), q in links_brute(m, how).items()}
+    got = {(x.conv_id, x.turn, x.level): x.quoted_turn for x in quotation.quote_links(spark.createDataFrame(rows, MESSAGES), how).collect()}
+    assert got == expected and len(got) > 80 and max(k[2] for k in got) > 1
+    out = {(x.conv_id, x.turn): x for x in quotation.link_quotations(spark.createDataFrame(rows, MESSAGES)).collect()}
+    for (conv, turn), x in out.items():
+        up, depth = turn, 0
+        while (conv, up, 1) in expected:
+            up, depth = expected[(conv, up, 1)], depth + 1
+        assert (x.root_turn, x.depth) == (up, depth)
+    for conv in texts:
+        for root in {x.root_turn for k, x in out.items() if k[0] == conv}:
+            thread = sorted(t for (c, t), x in out.items() if c == conv and x.root_turn == root)
+            assert [out[(conv, t)].position for t in thread] == list(range(len(thread)))
 
 
 def test_long_reply_chains_end(spark):
-    rows = [(1, 0, "user", "line 0")] + [(1, i, "user", f"> line {i - 1}\nline {i}") for i in range(1, 40)]
-    got = {x.turn: x.path for x in quotation.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert all(got[i] == list(range(i + 1)) for i in range(40))
+    rows = [(1, 0, "user", "this is line 0")] + [(1, i, "user", f"> this is line {i - 1}\nthis is line {i}") for i in range(1, 40)]
+    got = {x.turn: x for x in quotation.link_quotations(spark.createDataFrame(rows, MESSAGES)).collect()}
+    assert all((got[i].root_turn, got[i].depth, got[i].position) == (0, i, i) for i in range(40))
 
 
 def test_pipeline_stages_keep_columns_and_take_effect(spark):
