@@ -42,7 +42,7 @@ class Packing:
     end_id: int = 0
     step: float = 0.5
     rate: float = 3.0
-    lot: int = 20_000
+    lot: int = 1_000
 
 
 def _byte_letters() -> dict[int, str]:
