@@ -43,7 +43,7 @@ def _gram_hashes(texts: list[str], sizes: tuple[int, ...]) -> tuple[np.ndarray,
     n-grams stay inside a word and its edges."""
     codes, bounds = [], [0]
     for t in texts:
-        codes.append(t.lower() + " ")
+        codes.append(f" {t.lower()} ")
         bounds.append(bounds[-1] + len(codes[-1]))
     flat = np.frombuffer(("".join(codes)).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters(flat)

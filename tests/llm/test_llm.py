@@ -677,3 +677,98 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
     assert counts == sorted(counts, reverse=True) and counts[-1] > 0.5 * counts[0] and counts[2] < counts[1]
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def odd_documents(spark):
+    """Nulls in any column, empty and long texts, repeated rows and ids, and columns with names that operators use themselves."""
+    copy = prose(7, 60)
+    rows = [
+        (1, copy, "en", "a", 1, 0.5, "x"), (2, copy, None, None, None, None, None), (2, "another text " + prose(8, 40), "de", "b", 3, 0.1, "y"), (2, "another text " + prose(8, 40), "de", "b", 3, 0.1, "y"),
+        (3, None, "en", "a", 0, 0.2, "z"), (4, "", "en", "a", 0, 0.2, "z"), (None, copy, "en", "a", 5, 0.3, "n"), (None, None, None, None, None, None, None), (5, prose(9, 20_000), "en", "c", 7, 0.9, "l"), (6, " \n ", "en", "a", 3, 0.0, "w"),
+    ]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, carried string").selectExpr("*", "source as item_id", "n_chars as digest", "lang as component_id", "score as label", "doc_id as node", "text as clean")
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_pipeline_stages_take_odd_documents(spark, number):
+    from tests.conftest import DATA
+
+    docs = odd_documents(spark)
+    name, stage = corpus_pipeline.STAGES[number]
+    got = stage(spark, docs, DATA)
+    assert stage(spark, docs.limit(0), DATA).count() == 0
+    rows = got.collect()
+    if name == "pack":
+        assert Counter(r.doc_id for r in rows if r.piece == 0) == {1: 1, 2: 3, 3: 1, 4: 1, None: 2, 5: 1, 6: 1}
+        return
+    assert got.columns == docs.columns
+    ids = Counter(r.doc_id for r in rows)
+    if name == "near_dup":
+        # The row of 2 whose text sorts first; 1 and 2 are no copies as wholes, and the rows without an id all stay.
+        assert ids[None] == 2 and set(ids) >= {1, 3, 4, 5, 6} and all(ids[i] == 1 for i in ids if i is not None)
+        assert [r.text for r in rows if r.doc_id == 2] in ([], [r.text for r in docs.collect() if r.doc_id == 2 and r.text.startswith("another")][:1])
+    else:
+        assert ids[None] == 2 and {r.text for r in rows if r.doc_id in (3, 4)} == {None, ""}
+
+
+def test_gram_masks_equal_a_recount(spark):
+    """The model's predictions against plain sets of character n-grams, counted anew from the words."""
+    r = random.Random(33)
+    words = {"en": ["the", "and", "with", "thing", "other"], "de": ["der", "und", "über", "schön", "ding"], "fr": ["le", "être", "où", "ça", "autre"]}
+    rows = [(i, " ".join(r.choice(words[k] + words["en"][:1]) for _ in range(r.randint(2, 12))) + r.choice(["", "!", " 12"]), k) for i, k in enumerate(list(words) * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    how = language_id.Filters(slots=1 << 22)
+
+    def grams(text):
+        out = Counter()
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            out.update(w)
+            padded = f" {w} "
+            out.update(padded[i : i + n] for n in (2, 3, 4) for i in range(len(padded) - n + 1) if padded[i : i + n].strip())
+        return out
+
+    counts = {k: Counter() for k in words}
+    for _, t, k in rows:
+        counts[k].update(grams(t))
+    total = {k: sum(c.values()) for k, c in counts.items()}
+    rate = {k: {g: n / total[k] for g, n in c.items() if n > 1} for k, c in counts.items()}
+    mean = Counter()
+    for c in rate.values():
+        for g, x in c.items():
+            mean[g] += x / len(words)
+    typical = {k: {g for g, x in c.items() if x >= how.lift * mean[g]} for k, c in rate.items()}
+    got = {x.doc_id: x.lang_pred for x in language_id.predict(docs, language_id.fit(docs, how)).collect()}
+    for i, t, _ in rows:
+        held = {k: sum(n for g, n in grams(t).items() if g in typical[k]) for k in sorted(words)}
+        best = max(held.values())
+        assert got[i] in [k for k, n in held.items() if n == best], (t, held, got[i])
+
+
+def test_combining_marks_stay_in_their_words():
+    assert language_id._gram_hashes(["e\u0301t"], (4,))[1].tolist() == [2] and language_id._gram_hashes(["\u0301\u0301 1"], (1,))[1].tolist() == [0]
+
+
+def test_normal_equations_equal_a_direct_solution(spark):
+    docs = labelled(spark)
+    how = quality_classifier.Kernel(features=24, folds=3, partitions=3)
+    model = quality_classifier.fit(docs.select("doc_id", "text"), docs.select("doc_id", "label"), how)
+    rows = docs.collect()
+    x = np.array([quality_classifier.statistics(r.text) for r in rows])
+    z = quality_classifier._fourier((x - model.mean) / model.scale, how)
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.weights, np.linalg.solve(z.T @ z + how.ridge * np.eye(25), z.T @ np.array([r.label for r in rows], float)))
+
+
+def test_factorization_machine_equals_its_formula(spark):
+    r = np.random.default_rng(4)
+    words = ["moron", "clown", "group", "fine", "day"]
+    data = " ".join(words).encode()
+    ids = np.unique(toxicity._terms(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 24)[0])
+    model = toxicity.Model(ids, -0.3, r.normal(size=len(ids)), r.normal(size=(len(ids), 3)), 24)
+    texts = ["moron clown", "Clown, clown day!", "nothing here", "", None, "group moron fine"]
+    got = {x.doc_id: x.score for x in toxicity.score(spark.createDataFrame(list(enumerate(texts)), DOCS), model).collect()}
+    for i, t in enumerate(texts):
+        own = (t or "").encode()
+        terms = sorted(set(toxicity._terms(np.frombuffer(own, np.uint8), np.array([0, len(own)]), 24)[0].tolist()) & set(ids.tolist())) if own else []
+        at = [int(np.flatnonzero(ids == x)[0]) for x in terms]
+        z = model.bias + sum(model.weights[a] for a in at) + sum(float(model.vectors[a] @ model.vectors[c]) for k, a in enumerate(at) for c in at[k + 1 :])
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-9
