@@ -23,31 +23,45 @@ ORACLE_SQL = None
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text the machine scores under 0.5, as they are. Null and empty texts score what no term says and stay where clean
+    texts are the rule; rows without doc_id are scored like any; repeated rows score alike; an empty table gives none."""
     labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0).select("doc_id", F.col("toxic").alias("label"))
     scored = toxicity.score_rows(docs, toxicity.fit(docs, labels))
     return scored.where("score < 0.5").select("carried.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that share a doc_id are one document, of which one row stays; rows without doc_id all stay."""
+    """One document of each group of near duplicates, that of the smallest doc_id. Rows that share a doc_id are one document, of
+    which the row stays whose text sorts first (null before all; of equal texts, whose other columns sort first as JSON). Texts
+    without words are in no group. Rows without doc_id all stay. An empty table gives none."""
     groups = near_dup.near_duplicates(docs, near_dup.Plan(shingle=5, percent=80))
     firsts = groups.where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(firsts.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.struct(docs["text"], F.to_json(F.struct(F.lit(0).alias("_"), *[docs[c] for c in others])).alias("others"))
+    known = docs.where("doc_id is not null").join(firsts.hint("merge"), "doc_id", "left_semi")
+    one = known.groupBy("doc_id").agg(F.min_by(F.struct(*[docs[c] for c in docs.columns]), order).alias("row")).select("row.*")
+    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row with the repeated lines and runs cut from its text, and n_chars (if there is one) of what is left; a row that is left
+    without a word goes. Null and empty texts stay as they are; so do rows without doc_id, which neither own nor lose anything;
+    repeated rows are cut alike. An empty table gives none."""
     cleaned = substring_dedup.clean_rows(docs).where((F.col("removed_words") == 0) | F.col("clean").rlike(r"[^\x20\x09-\x0D]"))
-    text = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
+    text = {"text": F.col("clean"), "n_chars": F.when(F.col("removed_words") == 0, F.col("carried")["n_chars"]).otherwise(F.length("clean")).cast("long")} if "n_chars" in docs.columns else {"text": F.col("clean")}
     return cleaned.select(*[text[c].alias(c) if c in text else F.col("carried")[c].alias(c) for c in docs.columns])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of documents that hold no benchmark item. Null and empty texts hold none; rows without doc_id stay; rows that share a
+    doc_id go together. An empty table, or an empty benchmark, drops nothing."""
     leaks = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
     return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places; null and empty texts are a piece of the end id, repeated rows pieces of their
+    own, an empty table gives none."""
     return packing.pack(docs, packing.Packing(tokenizer_path("word_bpe_49k.json")))
 
 
