@@ -76,12 +76,14 @@ def score_sources(candidates: DataFrame, users: DataFrame, items: DataFrame) ->
 
 
 def fuse(scored: DataFrame) -> DataFrame:
-    """One row per (user, item): summed signal, best quality, the set of sources (sorted), and the best rank of each."""
+    """One row per (user, item): summed signal, best quality, the set of sources (sorted), and the best rank of each.
+
+    A user has one segment, so it is a key; the set of sources is read off their ranks. What is aggregated are numbers only, which
+    hash aggregation holds in place, and no row carries a list through the shuffle."""
     ranks = [F.min(F.when(F.col("source") == s, F.col("source_rank"))).alias(f"{s}_rank") for s in SOURCES]
-    return scored.groupBy("user_id", "item_id").agg(
-        F.sum("signal_score").alias("signal_score"), F.max("quality_score").alias("quality_score"), F.max("item_train_pop_count").alias("item_train_pop_count"),
-        F.max("user_segment").alias("user_segment"), F.sort_array(F.collect_set("source")).alias("source_set"), *ranks,
-    )
+    fused = scored.groupBy("user_id", "item_id", "user_segment").agg(F.sum("signal_score").alias("signal_score"), F.max("quality_score").alias("quality_score"), F.max("item_train_pop_count").alias("item_train_pop_count"), *ranks)
+    present = F.array(*[F.when(F.col(f"{s}_rank").isNotNull(), F.lit(s)) for s in sorted(SOURCES)])
+    return fused.withColumn("source_set", F.array_compact(present))
 
 
 def source_flags(fused: DataFrame) -> DataFrame:
