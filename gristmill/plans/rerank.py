@@ -289,7 +289,7 @@ def h1_target_universe(b):
 
 
 cte(
-    banded_rows="SELECT *, CASE WHEN pre_rank <= 10 THEN '001_010' WHEN pre_rank <= 30 THEN '011_030' WHEN pre_rank <= 60 THEN '031_060' ELSE '061_100' END AS band FROM model_rows",
+    banded_rows="SELECT *, CASE WHEN pre_rank <= 10 THEN '001_010' WHEN pre_rank <= 30 THEN '011_030' WHEN pre_rank <= 60 THEN '031_060' WHEN pre_rank <= 100 THEN '061_100' ELSE '101_plus' END AS band FROM model_rows",
     banded_seeds="SELECT *, row_number() OVER (PARTITION BY user_id, band ORDER BY pre_rank, item_id) <= CASE band WHEN '001_010' THEN 2 WHEN '011_030' THEN 3 WHEN '031_060' THEN 2 ELSE 0 END AS seed FROM banded_rows WHERE label = 0",
 )
 

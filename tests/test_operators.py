@@ -89,3 +89,99 @@ def test_tower_features_cover_every_ranked_candidate(spark):
     ranked = {(r.user_id, r.item_id) for r in Base(spark, DATA).ranked.select("user_id", "item_id").collect()}
     got = registry.QUERIES["c11_tower_features"](spark, DATA).collect()
     assert {(r.user_id, r.item_id) for r in got} == ranked and len(got) == len(ranked) and max(r.tower_rank for r in got) > 20
+
+
+def test_tag_route_equals_brute_force(spark):
+    """All users against all items, with negative weights, ties and users without weight."""
+    import random
+
+    r = random.Random(2)
+    tags = [("a", str(i)) for i in range(4)] + [("b", str(i)) for i in range(3)]
+    item_rows = [(i, *t, r.choice([1.0, 0.5])) for i in range(60) for t in r.sample(tags, 2)]
+    user_rows = [(u, *t, r.choice([0.25, 0.5, -0.25, 1.0])) for u in range(25) for t in r.sample(tags, 3)] + [(99, "a", "0", 0.0)]
+    users = spark.createDataFrame([(u,) for u in [*range(25), 99, 100]], "user_id long")
+    got = {}
+    for x in routes.tag_route(users, spark.createDataFrame(user_rows, "user_id long, tag_type string, tag string, weight double"), spark.createDataFrame(item_rows, "item_id long, tag_type string, tag string, weight double"), 7).collect():
+        got.setdefault(x.user_id, []).append((x.source_rank, x.item_id, x.source_score))
+    expected = {}
+    for u in range(25):
+        own = {t[1:3]: t[3] for t in user_rows if t[0] == u}
+        total = sum(map(abs, own.values()))
+        scores = {}
+        for i, kind, tag, w in item_rows:
+            if (kind, tag) in own:
+                scores[i] = scores.get(i, 0) + own[(kind, tag)] * w
+        best = sorted(((-round(x / total, 9), i) for i, x in scores.items() if round(x / total, 9) > 0))[:7]
+        if best:
+            expected[u] = [(n + 1, i, -x) for n, (x, i) in enumerate(best)]
+    assert {u: sorted(x) for u, x in got.items()} == expected
+
+
+def test_blocked_scores_equal_brute_force(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    u, v = r.integers(-2, 3, (9, 3)).astype(float), r.integers(-2, 3, (40, 3)).astype(float)
+    users = spark.createDataFrame([(i * 7, 1.0, x.tolist()) for i, x in enumerate(u)], "user_id long, confidence double, u array<double>")
+    items = spark.createDataFrame([(i * 3, x.tolist()) for i, x in enumerate(v)], "item_id long, v array<double>")
+    got = {}
+    for x in routes.blocked_best(users, items, routes._dot, 5, 0.5, "s", block=16).collect():
+        got.setdefault(x.user_id, []).append((x.source_rank, x.item_id, x.source_score))
+    expected = {}
+    for i, a in enumerate(u):
+        best = sorted((-float(a @ b), 3 * j) for j, b in enumerate(v) if a @ b >= 0.5)[:5]
+        if best:
+            expected[7 * i] = [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert {k: sorted(x) for k, x in got.items()} == expected
+    assert routes.blocked_best(users.limit(0), items, routes._dot, 5, 0.5, "s").count() == 0
+
+
+def test_buckets_take_what_earlier_ones_left(spark):
+    from gristmill.operators.selection import Bucket, in_buckets
+
+    rows = spark.createDataFrame([(1, i, i % 2) for i in range(1, 9)] + [(2, 1, None)], "k int, i int, odd int")
+    buckets = [Bucket("odd", F.col("odd") == 1, [F.col("i")], 2), Bucket("big", F.col("i") > 3, [F.desc("i")], 2), Bucket("fill", F.lit(True), [F.col("i")], 9)]
+    got = sorted((x.k, x.pick_order, x.i, x.bucket) for x in in_buckets(rows, ["k"], buckets, 6).collect())
+    assert got == [(1, 1, 1, "odd"), (1, 2, 3, "odd"), (1, 3, 8, "big"), (1, 4, 7, "big"), (1, 5, 2, "fill"), (1, 6, 4, "fill"), (2, 1, 1, "fill")]
+
+
+def test_pairs_of_several_positives_equal_all_pairs(spark):
+    import random
+
+    r = random.Random(3)
+    ranks = r.sample(range(1, 60), 40)
+    rows = [(i % 2, i, ranks[i], float(-ranks[i]), int(i % 9 == 0)) for i in range(40)]
+    got = {(x.user_id, x.nth): (x.rank_gap, x.rejected, x.chosen) for x in sampling.preference_pairs(spark.createDataFrame(rows, "user_id long, item_id long, rank int, score double, label int"), 6).collect()}
+    for u in (0, 1):
+        every = sorted((-(n[2] - p[2]), n[1], p[1]) for p in rows for n in rows if p[0] == n[0] == u and p[4] == 1 and n[4] == 0 and p[2] < n[2])[:6]
+        assert [got[(u, k + 1)] for k in range(len(every))] == [(-g, n, p) for g, n, p in every]
+
+
+def test_cohorts_and_shifts(spark):
+    from gristmill.operators import assets, cohorts
+
+    rows = spark.createDataFrame([(1, 1), (1, 40), (2, 2)], "user_id long, pre_rank int")
+    none, one = rows.select("user_id").limit(0), spark.createDataFrame([(2,), (2,)], "user_id long")
+    assert cohorts.cohort_filter(rows, None).count() == 3 and cohorts.cohort_filter(rows, none).count() == 0
+    assert [r.user_id for r in cohorts.eval_cohort(rows, one, none, 30).collect()] == [2] and cohorts.eval_cohort(rows, None, None, 30).count() == 2
+    lists = [([], ["a"]), (["a"], []), (["a"], ["a"]), (["a"], ["a", "b"]), (["a"], ["b"])]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(lists)], "i int, stable array<string>, recent array<string>")
+    assert [r.s for r in df.select("i", assets.recent_shift(F.col("stable"), F.col("recent")).alias("s")).orderBy("i").collect()] == ["broadening", "unknown", "stable", "broadening", "switching"]
+
+
+def test_readers_and_writers(spark, tmp_path):
+    from gristmill.sources import tables
+
+    rows = spark.createDataFrame([(1, "a,b"), (2, None), (3, 'q"x')], "k long, v string")
+    want = sorted(map(str, rows.collect()))
+    path = f"file://{tmp_path}"
+    tables.write_csv(rows.limit(1), f"{path}/t.csv")
+    tables.write_csv(rows.where("k > 1"), f"{path}/t.csv", append=True)
+    assert sorted(map(str, tables.read_any(spark, f"{path}/t.csv", "k long, v string").collect())) == want
+    tables.write_hashed(rows, f"{path}/h", "k", 3)
+    assert sorted(map(str, tables.read_any(spark, f"{path}/h").drop("bucket").collect())) == want
+    assert tables.latest_run(spark, f"{path}/none", "_x") is None
+    tables.write_pointer(spark, f"{path}/p", "runs/7")
+    assert tables.pointed_run(spark, f"{path}/p") == "runs/7"
+    tables.write_audit(rows, f"{path}/audit", {"stage": "x"})
+    assert {r.name: r.value for r in spark.read.json(f"{path}/audit/meta").collect()} == {"stage": "x", "rows": "3"}
