@@ -152,7 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, how: Kernel = Kernel()) -> Model:  #
 
     total = sums.sum(axis=0)
     unseen = [solve(total - sums[k]) for k in range(how.folds)]
-    held = seen.orderBy(*STATISTICS).toPandas()
+    # The bounded sample, in an order of its own.
+    held = seen.toPandas().sort_values([*STATISTICS, "label", "fold"], ignore_index=True)
     z = _fourier((held[list(STATISTICS)].to_numpy(np.float64) - mean) / scale, how)
     raw = np.einsum("ij,ij->i", z, np.array(unseen)[held["fold"].to_numpy(np.int64)])
     return Model(mean, scale, solve(total), *isotonic(raw, held["label"].to_numpy(np.float64)), how)
