@@ -36,6 +36,16 @@ def group_top_terms(counts: DataFrame, idf: DataFrame, group: str, k: int) -> Da
     return summed.withColumn("nth", nth).where(F.col("nth") <= k)
 
 
+def cluster_keywords(counts: DataFrame, idf: DataFrame, assigned: DataFrame, key: str, k: int) -> DataFrame:
+    """The k terms of greatest mean tf * idf over each cluster's documents (0 where a document lacks the term). ``counts``: key, term,
+    tf; ``assigned``: key, cluster."""
+    sizes = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_docs"))
+    sums = counts.join(assigned, key).join(idf.select("term", "idf"), "term").groupBy("cluster", "term").agg(F.sum("tf").alias("tf"), F.max("idf").alias("idf"), F.count(F.lit(1)).alias("df"))
+    mean = sums.join(sizes, "cluster").withColumn("mean_tfidf", F.round(F.col("tf") * F.col("idf") / F.col("n_docs"), 9))
+    nth = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("mean_tfidf"), F.desc("df"), "term"))
+    return mean.withColumn("nth", nth).where(F.col("nth") <= k)
+
+
 def topic_rating(rows: DataFrame, term: str, rating: str) -> DataFrame:
     """Per term: documents, mean rating, share of high (4 and more) and low (2 and less), and their difference."""
     high, low = F.avg((F.col(rating) >= 4).cast("double")), F.avg((F.col(rating) <= 2).cast("double"))

@@ -432,6 +432,63 @@ def p_sampled_events(b):
     return sampling.hash_sample(b.t("events"), 0.25, "event_id").select("user_id", "event_type")
 
 
+# Prompt texts.
+
+
+@query("SELECT s.user_id, concat_ws(chr(10), 'Segment: ' || user_segment, 'Likes: ' || i.p_type, 'Share: ' || round(i.share, 2)::VARCHAR, 'Evidence: ' || CASE WHEN len(e.evidence) <= 60 THEN e.evidence ELSE rtrim(regexp_replace(substr(e.evidence, 1, 60), '\\s+\\S*$', '')) || '...' END) AS prompt FROM user_segments s LEFT JOIN (SELECT * FROM intent_ranks WHERE nth = 1) i USING (user_id) LEFT JOIN (SELECT user_id, string_agg(text, '; ' ORDER BY place) AS evidence FROM sentences_best GROUP BY user_id) e USING (user_id)")
+def k11_user_prompt(b):
+    intent = profiles.preference_profile(b.history.join(types(b), "item_id"), "user_id", "p_type", F.col("hist_recency_w") * F.col("hist_rating"), 1).select("user_id", F.col("p_type").alias("likes"), F.round("share", 2).alias("share"))
+    rows = assets.preference_schema(b.segments.select("user_id", "user_segment"), {"intent": intent, "evidence": evidence(b)})
+    parts = [("Segment", F.col("user_segment")), ("Likes", F.col("likes")), ("Share", F.col("share")), ("Evidence", assets.shorten(F.array_join("evidence", "; "), 60))]
+    return rows.select("user_id", assets.compose(parts).alias("prompt"))
+
+
+_BAND = lambda c: f"CASE WHEN {c} <= 10 THEN 'head' WHEN {c} <= 30 THEN 'boundary' WHEN {c} <= 60 THEN 'middle' ELSE 'deep' END"
+
+
+@query(f"SELECT user_id, focus, rival, 'The rival stands ' || CASE WHEN rival_rank < focus_rank THEN 'ahead of' ELSE 'behind' END || ' the focus (' || {_BAND('rival_rank')} || ' against ' || {_BAND('focus_rank')} || ', ' || abs(rival_rank - focus_rank) || ' ranks apart).' AS question FROM boundary_picks")
+def h6_pair_prompts(b):
+    pairs = selection.boundary_rivals(paired(b), 12)
+    return pairs.select("user_id", "focus", "rival", assets.comparison(F.col("focus_pre_rank"), F.col("rival_pre_rank")).alias("question"))
+
+
+# Exploration.
+
+
+@query("SELECT cluster, term, nth FROM (SELECT lang AS cluster, t.term, row_number() OVER (PARTITION BY lang ORDER BY round(sum(tf) * max(idf) / max(n), 9) DESC, count(*) DESC, t.term) AS nth FROM doc_terms t JOIN term_idf i ON i.term = t.term JOIN documents d ON d.doc_id = t.doc_id JOIN (SELECT lang AS l, count(*) AS n FROM documents GROUP BY lang) c ON c.l = d.lang GROUP BY lang, t.term) WHERE nth <= 10")
+def g13_cluster_keywords(b):
+    from gristmill.plans.corpus import doc_terms
+
+    counts, docs = doc_terms(b), b.t("documents")
+    idf = text.smoothed_idf(counts, docs.count())
+    return out(text.cluster_keywords(counts, idf, docs.select("doc_id", F.col("lang").alias("cluster")), "doc_id", 10).select("cluster", "term", "nth"))
+
+
+@query("SELECT CASE WHEN n <= 7 THEN 'light' WHEN n <= 19 THEN 'mid' ELSE 'heavy' END AS activity, count(*) AS users, sum(n)::BIGINT AS events, round(avg(n), 6) AS mean_events FROM (SELECT user_id, count(*) AS n FROM interactions GROUP BY user_id) GROUP BY activity")
+def j4_activity(b):
+    users = b.interactions.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return users.groupBy(split.segment(F.col("n")).alias("activity")).agg(F.count(F.lit(1)).alias("users"), F.sum("n").alias("events"), F.round(F.avg("n"), 6).alias("mean_events"))
+
+
+@query("SELECT isodow(ts)::BIGINT AS weekday, hour(ts)::BIGINT AS hour, count(*) AS n FROM events GROUP BY weekday, hour")
+def j4_time_of_week(b):
+    return b.t("events").groupBy((F.weekday("ts") + 1).cast("long").alias("weekday"), F.hour("ts").cast("long").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT strftime(d, '%Y-%m') AS month, count(*) AS visits, count(DISTINCT user_id) AS users FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events) GROUP BY month")
+def j4_visit_dates(b):
+    """Comma-joined dates of each user, as a check-in table has them, taken apart again."""
+    joined = b.t("events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set(F.date_format("ts", "yyyy-MM-dd"))), ", ").alias("dates"))
+    days = joined.select("user_id", F.explode(F.split("dates", r",\s*")).alias("d"))
+    return days.groupBy(F.substring("d", 1, 7).alias("month")).agg(F.count(F.lit(1)).alias("visits"), F.countDistinct("user_id").alias("users"))
+
+
+@query("SELECT s_suppkey, s_name, count(*) AS events, count(DISTINCT l_partkey) AS items, round(avg(l_extendedprice), 4) AS mean_price FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY s_suppkey, s_name")
+def j4_supplier_stats(b):
+    rows = b.t("lineitem").join(b.t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return rows.groupBy("s_suppkey", "s_name").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("l_partkey").alias("items"), F.round(F.avg("l_extendedprice"), 4).alias("mean_price"))
+
+
 # Readers and writers: written to a folder of its own, and read back.
 
 
