@@ -20,6 +20,7 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,14 +165,26 @@ def cut(text: str, repeated: dict[int, bool], limits: Limits) -> tuple[str, list
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
+#: Rows whose cut texts are held at a time.
+SLICE = 256
+
+
 def _clean(limits: Limits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            carried, out = batch.column("carried"), []
-            for text, repeated in zip(carried.field("text").to_pylist(), batch.column("repeated").to_pylist(), strict=True):
-                out.append(cut(text, {r["digest"]: r["first"] for r in repeated}, limits) if text and repeated else (text, [], 0))
-            spans = pa.array([[{"start": a, "end": b} for a, b in x[1]] for x in out], _SPANS)
-            yield pa.RecordBatch.from_arrays([carried, pa.array([x[0] for x in out], pa.string()), pa.array([x[2] for x in out], pa.int64()), spans], names=["carried", "clean", "removed_words", "spans"])
+            for first in range(0, batch.num_rows, SLICE):
+                rows = batch.slice(first, SLICE)
+                carried, repeated, out = rows.column("carried"), rows.column("repeated"), []
+                cells = repeated.flatten()
+                digests, firsts = (cells.field(x).to_numpy(zero_copy_only=False) for x in ("digest", "first"))
+                at = 0
+                for text, n in zip(carried.field("text"), pc.fill_null(pc.list_value_length(repeated), 0).to_pylist(), strict=True):
+                    text = text.as_py()
+                    owned = dict(zip(digests[at : at + n].tolist(), firsts[at : at + n].tolist(), strict=True))
+                    out.append(cut(text, owned, limits) if text and owned else (text, [], 0))
+                    at += n
+                spans = pa.array([[{"start": a, "end": b} for a, b in x[1]] for x in out], _SPANS)
+                yield pa.RecordBatch.from_arrays([carried, pa.array([x[0] for x in out], pa.string()), pa.array([x[2] for x in out], pa.int64()), spans], names=["carried", "clean", "removed_words", "spans"])
 
     return run
 
