@@ -12,6 +12,7 @@ gathered.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from gristmill.llm._shared import write_table
 
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+CACHE_WORDS, CACHE_CHARS = 100_000, 64
 Pattern = tuple[tuple[int, int], ...]  # (length, count), lengths falling
 
 
@@ -63,12 +64,18 @@ _SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}
 _BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 
-def _by_words(spec: dict) -> bool:
-    """Whether a tokenizer file is of the kind that ``encoder`` takes apart word by word."""
-    model, parts = spec.get("model") or {}, (spec.get("pre_tokenizer") or {}).get("pretokenizers")
-    plain = not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
-    marked = all("<" in t["content"] and not t["lstrip"] and not t["rstrip"] for t in spec.get("added_tokens") or [])
-    return model.get("type") == "BPE" and plain and marked and (spec.get("normalizer") or {}).get("normalizers") == _NORMALIZER and parts == [_SPLIT, _BYTES]
+def _by_words(tokenizer) -> bool:
+    """Whether a tokenizer is of the kind that ``encoder`` takes apart word by word. Its parts are asked one by one, since the whole
+    file is megabytes of vocabulary."""
+    from tokenizers import models, normalizers, pre_tokenizers
+
+    model, normalizer, parts = tokenizer.model, tokenizer.normalizer, tokenizer.pre_tokenizer
+    if not (isinstance(model, models.BPE) and isinstance(normalizer, normalizers.Sequence) and isinstance(parts, pre_tokenizers.Sequence)):
+        return False
+    plain = not any((model.dropout, model.unk_token, model.continuing_subword_prefix, model.fuse_unk, model.byte_fallback, model.ignore_merges))
+    marked = all("<" in t.content and not t.lstrip and not t.rstrip for t in tokenizer.get_added_tokens_decoder().values())
+    said = [json.loads(x.__getstate__()) for x in (normalizer, parts)]
+    return plain and marked and said[0].get("normalizers") == _NORMALIZER and said[1].get("pretokenizers") == [_SPLIT, _BYTES]
 
 
 def encoder(path: str):
@@ -77,8 +84,6 @@ def encoder(path: str):
     Where the file says that white space always ends a word, words are encoded once each and remembered: a word of simple pieces
     piece by piece by the merges alone, any other by the whole tokenizer. Either memory is emptied when it has ``CACHE_WORDS``
     entries, none of over ``CACHE_CHARS`` characters. Texts go whole through any other tokenizer."""
-    import json
-
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -87,7 +92,7 @@ def encoder(path: str):
         ids = tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    if not _by_words(json.loads(tokenizer.to_str())):
+    if not _by_words(tokenizer):
         return whole
     merge = tokenizer.model.tokenize
     letters = _byte_letters()

@@ -445,10 +445,11 @@ def test_other_tokenizers_take_whole_texts(tmp_path):
     from tokenizers import Tokenizer
 
     spec = json.loads(Tokenizer.from_file(TOKENIZER).to_str())
-    assert packing._by_words(spec)
+    assert packing._by_words(Tokenizer.from_file(TOKENIZER))
     spec["normalizer"] = {"type": "NFC"}
     (tmp_path / "t.json").write_text(json.dumps(spec))
     whole, encode = Tokenizer.from_file(str(tmp_path / "t.json")), packing.encoder(str(tmp_path / "t.json"))
+    assert not packing._by_words(whole)
     for t in ["", "A b  C", "It's 12\n...!"]:
         assert encode(t) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
