@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from gristmill.functions.scalars import learned_rank_band
@@ -492,12 +488,6 @@ def j4_supplier_stats(b):
 # Readers and writers: written to a folder of its own, and read back.
 
 
-def _scratch(b) -> str:
-    """A folder that all executors share: ``spark.checkpoint.dir`` where it is set."""
-    root = b.spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "gristmill-io")
-    return f"{root.rstrip('/')}/io-{uuid.uuid4().hex}"
-
-
 CUSTOMERS = "SELECT c_custkey, c_name, c_mktsegment FROM customer"
 CUSTOMER = "c_custkey long, c_name string, c_mktsegment string"
 
@@ -508,14 +498,14 @@ def customers(b):
 
 @query(CUSTOMERS)
 def s_json_round_trip(b):
-    path = _scratch(b)
+    path = tables.scratch_dir(b.spark)
     tables.write_json(customers(b), f"{path}/c.json")
     return tables.read_any(b.spark, f"{path}/c.json", CUSTOMER)
 
 
 @query(CUSTOMERS)
 def s_ingest_json(b):
-    path = _scratch(b)
+    path = tables.scratch_dir(b.spark)
     tables.write_json(customers(b), f"{path}/raw.json")
     tables.ingest_json(b.spark, f"{path}/raw.json", f"{path}/table")
     return tables.ingest_json(b.spark, f"{path}/none.json", f"{path}/table").select("c_custkey", "c_name", "c_mktsegment")
@@ -523,7 +513,7 @@ def s_ingest_json(b):
 
 @query(CUSTOMERS)
 def s_csv_append(b):
-    path = _scratch(b)
+    path = tables.scratch_dir(b.spark)
     tables.write_csv(customers(b).where("c_custkey % 2 = 0"), f"{path}/c.csv")
     tables.write_csv(customers(b).where("c_custkey % 2 = 1"), f"{path}/c.csv", append=True)
     return tables.read_any(b.spark, f"{path}/c.csv", CUSTOMER)
@@ -531,21 +521,21 @@ def s_csv_append(b):
 
 @query(CUSTOMERS)
 def s_parquet_partitioned(b):
-    path = _scratch(b)
+    path = tables.scratch_dir(b.spark)
     tables.write_parquet(customers(b), f"{path}/c", max_records=100, by=["c_mktsegment"])
     return tables.read_any(b.spark, f"{path}/c").select("c_custkey", "c_name", F.col("c_mktsegment").cast("string").alias("c_mktsegment"))
 
 
 @query(CUSTOMERS)
 def s_parquet_hashed(b):
-    path = _scratch(b)
+    path = tables.scratch_dir(b.spark)
     tables.write_hashed(customers(b), f"{path}/c", "c_custkey", 4)
     return tables.read_any(b.spark, f"{path}/c").drop("bucket")
 
 
 @query(CUSTOMERS)
 def s_orc_round_trip(b):
-    path = _scratch(b)
+    path = tables.scratch_dir(b.spark)
     customers(b).write.orc(f"{path}/c.orc")
     return tables.read_any(b.spark, f"{path}/c.orc")
 
@@ -553,7 +543,7 @@ def s_orc_round_trip(b):
 @query("SELECT 3::BIGINT AS files, 'run-2_full' AS latest, 'run-1_full' AS pointed")
 def s_runs_and_parts(b):
     """The first part files of a folder, the run folder of greatest name, and the one that a pointer file names."""
-    path = _scratch(b)
+    path = tables.scratch_dir(b.spark)
     customers(b).repartition(5).write.parquet(f"{path}/run-1_full")
     customers(b).limit(3).write.parquet(f"{path}/run-2_full")
     tables.write_pointer(b.spark, f"{path}/pointer", f"{path}/run-1_full")
@@ -564,7 +554,7 @@ def s_runs_and_parts(b):
 
 @query("SELECT user_id, count(*) AS n_rows, max(d)::INT AS audited FROM (SELECT user_id, CASE WHEN rating >= 4 THEN 1 ELSE 0 END AS d FROM train_events) GROUP BY user_id")
 def s_enriched_audit(b):
-    path = _scratch(b)
+    path = tables.scratch_dir(b.spark)
     audit = b.train.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max((F.col("rating") >= 4).cast("int")).alias("audited"))
     tables.write_audit(audit, f"{path}/audit", {"stage": "train"})
     return b.spark.read.parquet(f"{path}/audit/rows")

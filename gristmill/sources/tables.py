@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +15,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share, under ``spark.checkpoint.dir``. Where that is unset, a local one if all tasks
+    run in this process (tests), and an error if they run elsewhere."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + os.path.join(tempfile.gettempdir(), "gristmill-io")
+    return f"{root.rstrip('/')}/io-{uuid.uuid4().hex}"
+
+
 def read_any(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """By suffix: .csv (with header), .json/.jsonl, .orc; anything else is Parquet."""
     reader = spark.read.schema(schema) if schema else spark.read
