@@ -30,7 +30,10 @@ NUMBER_WORDS = (
 ).split()
 SPACE = r"[\s\p{Z}]+"
 _CAPITALISED = rf"\p{{Lu}}(?<![\p{{L}}\p{{M}}{HOLD}]\p{{Lu}})" + r"['’\p{Lu}]*\p{Ll}[\p{L}\p{M}'’]*"
-_NUMBER = r"\p{N}+(?:[.,:/]\p{N}+)*"
+# Repeated groups are possessive: Java matches others by recursion, a frame a repetition, and long lists overflow the stack. Nothing
+# that may follow a number or name can begin inside it, so they match the same. A number starts at its first figure only, or a list
+# without a unit would be read again from each of its figures.
+_NUMBER = r"(?<!\p{N})(?<!\p{N}[.,:/])\p{N}++(?:[.,:/]\p{N}++)*+"
 _UNIT = rf"(?:{UNITS})(?![\p{{L}}\p{{N}}])"
 
 
@@ -63,7 +66,7 @@ def _number_words(word: Column) -> Column:
 def template(text: Column) -> Column:
     """The template words of a text."""
     units = F.regexp_replace(text, rf"(?i){_NUMBER}[ ]?{_UNIT}", NUMBER + UNIT)
-    named = F.regexp_replace(units, rf"{_CAPITALISED}(?:{SPACE}{_CAPITALISED})*", NAME)
+    named = F.regexp_replace(units, rf"{_CAPITALISED}(?:{SPACE}{_CAPITALISED})*+", NAME)
     stripped = _stripped(F.regexp_replace(named, _NUMBER, NUMBER))
     return F.filter(_words(stripped), lambda w: w != "")
 
@@ -74,7 +77,7 @@ def tokens(texts: DataFrame, *keys: str) -> DataFrame:
     held = F.regexp_replace(F.col("text"), rf"(?i)({_NUMBER})[ ](?={_UNIT})", f"$1{HOLD}")
     held = F.regexp_replace(held, rf"({_CAPITALISED}){SPACE}(?={_CAPITALISED})", f"$1{JOIN}")
     marked = F.regexp_replace(F.col("held"), rf"(?i){_NUMBER}{HOLD}?{_UNIT}", NUMBER + UNIT)
-    marked = F.regexp_replace(marked, rf"{_CAPITALISED}(?:{JOIN}{_CAPITALISED})*", NAME)
+    marked = F.regexp_replace(marked, rf"{_CAPITALISED}(?:{JOIN}{_CAPITALISED})*+", NAME)
     marked = F.regexp_replace(marked, _NUMBER, NUMBER)
     both = texts.select(*keys, held.alias("held")).select(*keys, "held", marked.alias("marked"))
     zipped = F.arrays_zip(F.split("held", SPACE).alias("raw"), F.split("marked", SPACE).alias("marked"))

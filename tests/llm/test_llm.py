@@ -270,6 +270,18 @@ def test_templates_equal_brute_force_and_keep_their_words_places(spark):
         assert fast[k] == slow.get(k, []) == template_brute(t), t
 
 
+def test_long_lists_of_numbers_and_names_are_read_to_their_end(spark):
+    """Java's stack would hold a frame for each repetition of a group, and overflow."""
+    texts = {1: "1," * 100_000 + "1", 2: "1." * 100_000 + "5 km", 3: "Ann " * 100_000 + "ran", 4: "7" * 100_000}
+    df = spark.createDataFrame(list(texts.items()), "k long, text string")
+    both = {1: [decontaminate.NUMBER], 2: [decontaminate.NUMBER + decontaminate.UNIT], 3: [decontaminate.NAME, "ran"], 4: [decontaminate.NUMBER]}
+    assert {x.k: x.w for x in df.select("k", decontaminate.template(F.col("text")).alias("w")).collect()} == both
+    found = {}
+    for x in decontaminate.tokens(df, "k").orderBy("k", "pos").collect():
+        found.setdefault(x.k, []).append(x.word)
+    assert found == both
+
+
 def test_decontamination_equals_brute_force(spark):
     """Copies of items with words changed at random: covered as an enumeration of all alignments says."""
     r = random.Random(21)
