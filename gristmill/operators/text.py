@@ -95,9 +95,13 @@ def spam_score(text: Column) -> Column:
     return F.least(0.4 * (1 - alpha) + 0.3 * shout + 0.5 * cue, F.lit(1.0))
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two word sets; 0 for two empty ones."""
-    return F.size(F.array_intersect(a, b)).cast("double") / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
+def _like(a: Column, b: Column, limit: float) -> Column:
+    """Whether the Jaccard similarity of two lists of different words is above ``limit``; it is 0 for two empty ones.
+
+    It is the sizes' ratio at most, so lists that differ more in size are not intersected."""
+    least, most = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b), F.lit(1))
+    shared = F.size(F.array_intersect(a, b))
+    return F.when(least / most <= limit, F.lit(False)).otherwise(shared / F.greatest(F.size(a) + F.size(b) - shared, F.lit(1)) > limit)
 
 
 def diverse_subset(rows: DataFrame, group: str, most: int, limit: float) -> DataFrame:
@@ -110,7 +114,7 @@ def diverse_subset(rows: DataFrame, group: str, most: int, limit: float) -> Data
     row, order = F.struct("id", "score", "words"), F.struct((-F.col("score")).alias("s"), "id")
     taken = rows.groupBy(group).agg(F.array(F.min_by(row, order)).alias("taken"))
     for _ in range(most - 1):
-        like = F.exists("taken", lambda x: (x["id"] == F.col("id")) | (_overlap(F.col("words"), x["words"]) > limit))
+        like = F.exists("taken", lambda x: (x["id"] == F.col("id")) | _like(F.col("words"), x["words"], limit))
         found = rows.join(taken, group).groupBy(group).agg(F.first("taken").alias("taken"), F.min_by(row, F.when(~like, order)).alias("best"))
         taken = found.select(group, F.when(F.col("best").isNull(), F.col("taken")).otherwise(F.concat("taken", F.array("best"))).alias("taken"))
     return taken.select(group, F.explode("taken").alias("x")).select(group, "x.id", "x.score")

@@ -239,3 +239,13 @@ def test_context_best_is_the_best_of_all_pairs(n_items, k):
             rows.append((-float(np.round((0.6 * cos + 0.4 * near) * (0.82 + 0.18 * min(np.log1p(items["support"][i]) / np.log(51), 1)), 6)), int(items["item_id"][i])))
         expected += [{"user_id": u, "item_id": i, "source_score": -s} for s, i in sorted(rows)[:k] if -s >= 0.05]
     assert got == expected
+
+
+def test_likeness_by_sizes_is_jaccard(spark):
+    r = np.random.default_rng(8)
+    lists = [[str(x) for x in r.permutation(12)[: r.integers(0, 12)]] for _ in range(400)]
+    rows = spark.createDataFrame(list(zip(lists[::2], lists[1::2], strict=True)), "a array<string>, b array<string>")
+    for limit in (0.0, 0.4, 0.5):
+        for x in rows.select("a", "b", text._like(F.col("a"), F.col("b"), limit).alias("like")).collect():
+            a, b = set(x.a), set(x.b)
+            assert x.like == (len(a & b) / max(len(a | b), 1) > limit)
