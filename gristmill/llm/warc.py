@@ -38,14 +38,15 @@ class Archive:
 
 
 def base32_sha1(data: Column) -> Column:
-    """SHA-1 of binary data in upper-case base32: 20 bytes are 8 groups of 20 bits, 4 letters each."""
-    digest = F.sha1(data)
+    """SHA-1 of binary data in upper-case base32: 15 hexadecimal digits are 12 of base 32, which an unsigned 64-bit number holds.
 
-    def group(i: Column) -> Column:
-        bits = F.conv(F.substring(digest, i * 5 + 1, F.lit(5)), 16, 10).cast("long")
-        return F.concat(*[F.substring(F.lit(BASE32), (F.shiftright(bits, s).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for s in (15, 10, 5, 0)])
+    The digest is bound by ``transform``, so that it is computed once however often the parts name it."""
 
-    return F.concat(*[group(F.lit(i)) for i in range(8)])
+    def text(digest: Column) -> Column:
+        part = lambda at, n, width: F.lpad(F.conv(F.substring(digest, at, n), 16, 32), width, "0")
+        return F.translate(F.concat(part(1, 15, 12), part(16, 15, 12), part(31, 10, 8)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
+
+    return F.transform(F.array(F.sha1(data)), text)[0]
 
 
 def resolve_revisits(headers: DataFrame, min_bytes: int) -> DataFrame:
