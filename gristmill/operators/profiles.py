@@ -28,10 +28,15 @@ def dominant_label(rows: DataFrame, key: str, label: str) -> DataFrame:
 
 
 def preference_profile(rows: DataFrame, key: str, label: str, weight: Column, k: int) -> DataFrame:
-    """Each key's k labels of greatest weight, with their share, rank and the margin of the first over the second."""
+    """Each key's k labels of greatest weight, with their share, rank and the margin of the first over the second.
+
+    Weights are added in the order of their ranks, so that the last bit of a share, by which one like 0.625 is rounded, doesn't depend
+    on how rows arrive. The SQL's engine adds them in that order, too, as it sorts once for both windows."""
     sums = rows.groupBy(key, label).agg(F.round(F.sum(weight), 9).alias("weight"))
     own = Window.partitionBy(key)
-    ranked = sums.withColumn("share", F.col("weight") / F.sum("weight").over(own)).withColumn("nth", F.row_number().over(own.orderBy(F.desc("weight"), label)))
+    order = own.orderBy(F.desc("weight"), label)
+    total = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ranked = sums.withColumn("share", F.col("weight") / total).withColumn("nth", F.row_number().over(order))
     first, second = F.max(F.when(F.col("nth") == 1, F.col("share"))).over(own), F.coalesce(F.max(F.when(F.col("nth") == 2, F.col("share"))).over(own), F.lit(0.0))
     return ranked.withColumn("margin", first - second).where(F.col("nth") <= k)
 

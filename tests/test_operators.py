@@ -339,3 +339,24 @@ def test_rank_in_lists_is_the_rank_of_truth(spark):
     ranked = lists.selectExpr("user_id", "posexplode(best) as (pos, x)").selectExpr("user_id", "x.item_id", "pos + 1 as rank")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, metrics.rank_of_truth(truth, ranked).select("user_id", "item_id", "hit_rank").collect()), key=str)
     assert {r.user_id: r.hit_rank for r in got.collect()} == {1: 2, 2: 1, 3: None, 4: None}
+
+
+def test_shares_add_weights_in_the_order_of_their_ranks(spark):
+    import duckdb
+
+    from gristmill.operators.profiles import preference_profile
+    from gristmill.plans import registry
+    from gristmill.plans.sql import CTES
+
+    # The first of five labels has 3/8 of the total: its share, to two places, hangs on the last bit of the total.
+    rng = np.random.default_rng(7)
+    users = [[3 * m, *rng.multinomial(5 * m, [0.25] * 4)] for m in rng.integers(1_000, 10_000, 300)]
+    weights = [(u, label, int(n) / 1e9) for u, parts in enumerate(users) for label, n in zip("pqrst", parts)]
+    rows = spark.createDataFrame(weights, "user_id long, p_type string, weight double")
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE intent_sums AS SELECT unnest(?::BIGINT[]) AS user_id, unnest(?::VARCHAR[]) AS p_type, unnest(?::DOUBLE[]) AS weight", [list(c) for c in zip(*weights)])
+    expected = dict(duck.execute(f"SELECT user_id, share FROM ({CTES['intent_ranks']}) WHERE nth = 1").fetchall())
+    assert "k11_user_prompt" in registry.QUERIES and {s >= 0.375 for s in expected.values()} == {True, False}
+    for order in (F.asc("p_type"), F.desc("p_type")):
+        got = preference_profile(rows.orderBy("user_id", order), "user_id", "p_type", F.col("weight"), 1)
+        assert {r.user_id: r.share for r in got.collect()} == expected
